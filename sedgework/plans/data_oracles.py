@@ -16,6 +16,16 @@ INDEX_KEYS = " UNION ALL ".join(
     for field, expr in [("dtype", "s.value.dtype"), ("name", "s.value.name"), ("email", "s.value.email"), ("bucket", "s.value.bucket"), ("operation", "s.value.operation"), ("n", "CAST(s.value.n AS VARCHAR)"), ("tags", "unnest(s.value.tags)")]
 )
 
+LINKS = f"""
+SELECT DISTINCT graph, source AS parent, target AS child FROM (
+  SELECT *, row_number() OVER (PARTITION BY graph, id ORDER BY seq DESC) AS rn FROM graph_edge
+) WHERE rn = 1 AND {SPELLING} = 'child' AND source IS NOT NULL AND target IS NOT NULL"""
+WALK = f"""
+WITH RECURSIVE links AS MATERIALIZED ({LINKS}), nodes AS (SELECT graph, parent AS id FROM links UNION SELECT graph, child FROM links),
+walk AS (
+  SELECT n.graph, n.id, n.id AS root, CAST(0 AS BIGINT) AS depth, n.id AS path FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.graph = n.graph AND l.child = n.id)
+  UNION ALL SELECT l.graph, l.child, w.root, w.depth + 1, w.path || ' / ' || l.child FROM walk w JOIN links l ON l.graph = w.graph AND l.parent = w.id)"""
+
 RUNS = "SELECT run_id, max(read_to) AS hi FROM run_log WHERE status = 'succeeded' AND read_to IS NOT NULL GROUP BY run_id UNION ALL SELECT max(run_id) + 1, TIMESTAMP '9999-01-01' FROM run_log"
 
 
@@ -37,4 +47,8 @@ SELECT e.graph, e.source, e.target, count(*) AS n_edges, min(n.source_row) AS so
 LEFT JOIN (SELECT graph, id, min(row_id) AS source_row FROM graph_node GROUP BY graph, id) n ON n.graph = e.graph AND n.id = e.source
 WHERE e.source IS NOT NULL AND e.target IS NOT NULL GROUP BY e.graph, e.source, e.target""",
         "p4_postings": f"WITH keys AS ({INDEX_KEYS}) SELECT name, key, count(DISTINCT doc_id) AS n_documents, min(doc_id) AS first_id, max(doc_id) AS last_id FROM keys WHERE key IS NOT NULL AND doc_id IS NOT NULL GROUP BY name, key",
+        "p6_found": f"{WALK} SELECT n.graph, n.id AS node_id, coalesce(w.root, '') AS root_id, coalesce(w.depth, -1) AS depth FROM nodes n LEFT JOIN walk w USING (graph, id)",
+        "p6_paths": f"""
+{WALK}, above AS (SELECT graph, id, unnest(string_split(path, ' / ')) AS a FROM walk), sizes AS (SELECT graph, a AS id, count(*) - 1 AS n FROM above GROUP BY graph, a)
+SELECT w.graph, w.id AS node_id, w.path, s.n AS n_descendants FROM walk w JOIN sizes s USING (graph, id)""",
     }

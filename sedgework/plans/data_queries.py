@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedgework.functions.text import one_spelling
-from sedgework.operators import changes, indexes, orphans, skew
+from sedgework.operators import changes, drift, hierarchy, indexes, orphans, skew, spikes
 from sedgework.sources.scratch import Scratch
 from sedgework.sources.tables import table
 
@@ -31,6 +31,15 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return changes.changed_per_run(table(spark, root, "stored_document"), table(spark, root, "run_log"))
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return drift.changes(table(spark, root, "bench_file")).select("file_id", "field_name", "change_kind")
+
+
+def p3_table(spark: SparkSession, root: str) -> DataFrame:
+    """All result files in one table."""
+    return drift.unified(table(spark, root, "bench_file"))
+
+
 def _index_keys(spark: SparkSession, root: str) -> DataFrame:
     return indexes.keys_of_definitions(table(spark, root, "stored_document"), table(spark, root, "secondary_index"))
 
@@ -76,10 +85,37 @@ def p4_postings(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+METRIC_FIELDS = ("reference_seconds", "fast_seconds", "speedup")
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return spikes.cases(table(spark, root, "bench_metric"), METRIC_FIELDS)
+
+
+def p5_scores(spark: SparkSession, root: str) -> DataFrame:
+    """Score, deviation, run length and reason of every reading."""
+    return spikes.judged(table(spark, root, "bench_metric"), METRIC_FIELDS)
+
+
+def _hierarchy(spark: SparkSession, root: str) -> hierarchy.Hierarchy:
+    return hierarchy.hierarchy(hierarchy.current_links(table(spark, root, "graph_edge")))
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return _hierarchy(spark, root).nodes().select("graph", "node_id", "root_id", "depth")
+
+
+def p6_paths(spark: SparkSession, root: str) -> DataFrame:
+    """Path of each node that has a root, ids from the root on, and the number of its descendants, from its interval."""
+    found = _hierarchy(spark, root)
+    paths = found.paths().select("graph", "node_id", F.concat_ws(" / ", "path").alias("path"))
+    return paths.join(found.nodes().select("graph", "node_id", "n_descendants"), ["graph", "node_id"])
+
+
 def tasks_of(spark: SparkSession) -> int:
     """Tasks to spread over: as many as the session shuffles into, 4,096 at most, so that a plan stays small."""
     return max(1, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_postings": p4_postings}
+    return {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p3_found": p3_found, "p3_table": p3_table, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_postings": p4_postings, "p5_found": p5_found, "p5_scores": p5_scores, "p6_found": p6_found, "p6_paths": p6_paths}
