@@ -1,4 +1,4 @@
-"""Keys: their types, and expressions given either as a Column or as a Python callable."""
+"""Keys: their types, and expressions given as a Column, as SQL, or as a Python callable."""
 
 from __future__ import annotations
 
@@ -36,14 +36,14 @@ def literal_key(key: object, key_type: str) -> Column:
 
 
 def as_column(expression: Expression, returns: str | T.DataType, *args: str) -> Column:
-    """The expression over a row: a Column as it is, a string as a column name, a callable as a UDF of the args columns.
+    """The expression over a row: a Column as it is, a string as a SQL expression, a callable as a UDF of the args columns.
 
     A Column is pushed down and compiled; a callable is not, and sees one row at a time.
     """
     if isinstance(expression, Column):
         return expression
     if isinstance(expression, str):
-        return F.col(expression)
+        return F.expr(expression)
     return F.udf(expression, returns)(*args)
 
 

@@ -21,7 +21,7 @@ MAIN = "std"
 
 @dataclass(frozen=True)
 class IndexDefinition:
-    """How to index a collection. key: a Column or column name over the documents, or a callable of the document's value."""
+    """How to index a collection. key: a Column or a SQL expression over the documents, or a callable of the document's value."""
 
     name: str
     key: Expression
@@ -35,7 +35,7 @@ class IndexDefinition:
         if not isinstance(self.name, str) or not self.name:
             raise TypeError("an index has a name")
         if not (isinstance(self.key, (Column, str)) or callable(self.key)):
-            raise TypeError("an index key is a Column, a column name or a callable")
+            raise TypeError("an index key is a Column, a SQL expression or a callable")
 
 
 def index_keys(documents: DataFrame, definition: IndexDefinition) -> DataFrame:
