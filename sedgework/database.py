@@ -436,7 +436,7 @@ class Database:
         """Write nodes; one that is there keeps its row id. Of repeated ids the last wins."""
         rows = [(graph, str(n.id), encode(n.props), i) for i, n in enumerate(nodes)]
         batch = self.spark.createDataFrame(rows, "graph string, id string, json string, ord bigint")
-        batch = _last_with_ord(batch)
+        batch = D.last_writes(batch, G.KEY, "ord")
         with self._boundary("write") as t:
             old = t.read("nodes", schemas.NODE)
             new = G.with_row_ids(old, batch, "ord").select("graph", "id", "row_id", F.when(F.col("json") != "null", F.parse_json("json")).alias("props"))
@@ -457,7 +457,7 @@ class Database:
     def put_edges(self, edges: Iterable[Edge], graph: str = G.DEFAULT_GRAPH) -> None:
         """Write edges whose endpoints are nodes of the graph, else raise UnknownEndpoint and write none. Of repeated ids the last wins."""
         rows = [(graph, str(e.id), str(e.source), str(e.predicate), str(e.target), i) for i, e in enumerate(edges)]
-        batch = _last_with_ord(self.spark.createDataFrame(rows, "graph string, id string, source string, predicate string, target string, ord bigint"))
+        batch = D.last_writes(self.spark.createDataFrame(rows, "graph string, id string, source string, predicate string, target string, ord bigint"), G.KEY, "ord")
         with self._boundary("write") as t:
             G.check_endpoints(batch, t.read("nodes", schemas.NODE))
             old = t.read("edges", schemas.EDGE)
@@ -611,8 +611,3 @@ class _ReadView(Transaction):
 
     def __init__(self, outer: Transaction) -> None:
         self.database, self.mode, self.base, self.staged = outer.database, "read", outer.base, outer.staged
-
-
-def _last_with_ord(batch: DataFrame) -> DataFrame:
-    """The last row of each (graph, id), its ord kept."""
-    return D.last_writes(batch.withColumn("__o", F.col("ord")), G.KEY, "__o")

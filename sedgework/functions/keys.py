@@ -35,6 +35,23 @@ def literal_key(key: object, key_type: str) -> Column:
     return F.lit(str(key)).cast(SPARK_TYPE[UINT64])
 
 
+def checked_key(function: Callable, key_type: str, many: bool) -> Callable:
+    """A callable key function as one that gives texts, and raises KeyTypeError for a key that is of another type."""
+
+    def text(key: object) -> str | None:
+        if key is None:
+            return None
+        if (key_type == STRING and isinstance(key, str)) or (key_type == UINT64 and isinstance(key, int) and not isinstance(key, bool)):
+            return str(key)
+        raise KeyTypeError(f"{key!r} is no {key_type} key")
+
+    def run(value: object) -> str | list[str | None] | None:
+        found = function(value)
+        return [text(k) for k in found or ()] if many else text(found)
+
+    return run
+
+
 def as_column(expression: Expression, returns: str | T.DataType, *args: str) -> Column:
     """The expression over a row: a Column as it is, a string as a SQL expression, a callable as a UDF of the args columns.
 

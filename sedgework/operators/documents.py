@@ -24,11 +24,10 @@ def last_writes(batch: DataFrame, keys: Sequence[str], ordinal: str | Column) ->
 
     Aggregated with partial results, so a key that a third of the rows have makes no task longer.
     """
-    columns = [c for c in batch.columns if c != ordinal]
     hashed = [F.col(f.name) if _atomic(f.dataType) else F.to_json(F.struct(f.name)) for f in batch.schema.fields if f.name != ordinal]
     order = F.struct(F.col(ordinal) if isinstance(ordinal, str) else ordinal, F.xxhash64(*hashed))
-    best = batch.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in columns if c not in keys]), order).alias("__row"))
-    return best.select(*keys, "__row.*").select(*columns)
+    best = batch.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in keys]), order).alias("__row"))
+    return best.select(*keys, "__row.*").select(*batch.columns)
 
 
 def scan(documents: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sedgework.errors import UniqueViolation
-from sedgework.functions.keys import SPARK_TYPE, STRING, Expression, as_column, check_key_type, key_column, literal_key
+from sedgework.functions.keys import STRING, Expression, as_column, check_key_type, checked_key, key_column, literal_key
 
 MAIN = "std"
 
@@ -40,8 +40,8 @@ class IndexDefinition:
 
 def index_keys(documents: DataFrame, definition: IndexDefinition) -> DataFrame:
     """(key, doc_id) of each document and key, repeats included: what the key expression yields, without nulls."""
-    kind = SPARK_TYPE[definition.key_type]
-    raw = as_column(definition.key, T.ArrayType(kind) if definition.multi_valued else kind, "value")
+    key = definition.key if isinstance(definition.key, (Column, str)) else checked_key(definition.key, definition.key_type, definition.multi_valued)
+    raw = as_column(key, T.ArrayType(T.StringType()) if definition.multi_valued else T.StringType(), "value")
     if definition.multi_valued:
         rows = documents.select(F.explode(raw).alias("key"), F.col("id").alias("doc_id"))
     else:
