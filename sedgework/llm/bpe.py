@@ -166,12 +166,14 @@ class Tokenizer:
         return sum(map(len, map(self.words.__getitem__, self.split(text)))) if text else 0
 
     def encode_stream(self, pieces: Iterable[bytes]) -> Iterator[int]:
-        """The ids of UTF-8 text that comes in pieces cut anywhere. Held back is one pretoken, the one that more text could make longer."""
+        """The ids of UTF-8 text that comes in pieces cut anywhere. Held back is the last pretoken, which more text could make longer, and one that begins in the last two characters, which could become a contraction."""
         decoder, rest = codecs.getincrementaldecoder("utf-8")("replace"), ""
         for piece, last in chain(((p, False) for p in pieces), [(b"", True)]):
             rest += decoder.decode(piece, last)
             found = self.split(rest)
             ready = found if last else found[:-1]
+            if ready and not last and len(found[-1]) + len(ready[-1]) <= 2:
+                ready = ready[:-1]
             rest = rest[sum(map(len, ready)) :]
             for word in ready:
                 yield from self.words[word]

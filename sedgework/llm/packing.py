@@ -11,7 +11,7 @@ is no task's whole.
 
 from __future__ import annotations
 
-import heapq
+from bisect import bisect_left, insort
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -35,9 +35,21 @@ class Pattern:
 
 
 def patterns(histogram: Mapping[int, int], capacity: int) -> list[Pattern]:
-    """Patterns that use up the histogram (length -> items, lengths from 1 to capacity)."""
+    """Patterns that use up the histogram (length -> items, lengths from 1 to capacity): of the two orders below those of fewer packs.
+
+    Shortest pack first suits corpora of many short items. Where items are long against the capacity, the fullest
+    pack that an item fits into can be better, so that is tried as well; both take no longer than the histogram is.
+    """
+    for length, n in histogram.items():
+        if n and not 1 <= length <= capacity:
+            raise ValueError(f"an item of {length} can't be placed whole into {capacity}")
+    return min((_place(histogram, capacity, shortest) for shortest in (True, False)), key=lambda found: sum(p.count for p in found))
+
+
+def _place(histogram: Mapping[int, int], capacity: int, shortest: bool) -> list[Pattern]:
+    """Lengths from the longest, each into the packs with most room (shortest) or with least that is enough."""
     open_packs: dict[int, list[tuple[int, tuple[tuple[int, int], ...]]]] = {}
-    roomiest: list[int] = []  # negative rooms of open_packs
+    rooms: list[int] = []  # of open_packs, ascending
     done: list[Pattern] = []
 
     def put(room: int, count: int, content: tuple[tuple[int, int], ...]) -> None:
@@ -47,14 +59,13 @@ def patterns(histogram: Mapping[int, int], capacity: int) -> list[Pattern]:
             open_packs[room].append((count, content))
         else:
             open_packs[room] = [(count, content)]
-            heapq.heappush(roomiest, -room)
+            insort(rooms, room)
 
     for length in sorted((k for k, n in histogram.items() if n), reverse=True):
-        if not 1 <= length <= capacity:
-            raise ValueError(f"an item of {length} can't be placed whole into {capacity}")
         left = histogram[length]
         while left:
-            if not roomiest or -roomiest[0] < length:
+            at = len(rooms) - 1 if shortest else bisect_left(rooms, length)
+            if not 0 <= at < len(rooms) or rooms[at] < length:
                 each = capacity // length  # whole packs of this length alone, and one that is not full
                 full, rest = divmod(left, each)
                 if full:
@@ -62,11 +73,11 @@ def patterns(histogram: Mapping[int, int], capacity: int) -> list[Pattern]:
                 if rest:
                     put(capacity - rest * length, 1, ((length, rest),))
                 break
-            room = -roomiest[0]
+            room = rooms[at]
             count, content = open_packs[room].pop()
             if not open_packs[room]:
                 del open_packs[room]
-                heapq.heappop(roomiest)
+                rooms.pop(at)
             used = min(count, left)
             if used < count:
                 put(room, count - used, content)
