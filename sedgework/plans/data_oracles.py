@@ -26,6 +26,30 @@ walk AS (
   SELECT n.graph, n.id, n.id AS root, CAST(0 AS BIGINT) AS depth, n.id AS path FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.graph = n.graph AND l.child = n.id)
   UNION ALL SELECT l.graph, l.child, w.root, w.depth + 1, w.path || ' / ' || l.child FROM walk w JOIN links l ON l.graph = w.graph AND l.parent = w.id)"""
 
+DRIFT = """
+WITH files AS (
+  SELECT file_id, suite, body, row_number() OVER (PARTITION BY suite ORDER BY committed_at NULLS FIRST, file_id) AS rn
+  FROM (SELECT * FROM bench_file WHERE json_valid(body)) WHERE json_type(body) = 'OBJECT'),
+listed AS (SELECT file_id, suite, body, rn, unnest(json_keys(body)) AS field FROM files),
+fields AS (
+  SELECT DISTINCT file_id, suite, rn, field, CASE json_type(json_extract(body, '$."' || field || '"'))
+    WHEN 'VARCHAR' THEN 'string' WHEN 'BIGINT' THEN 'whole' WHEN 'UBIGINT' THEN 'whole' WHEN 'DOUBLE' THEN 'point' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' END AS kind
+  FROM listed),
+stretches AS (SELECT *, rn - row_number() OVER (PARTITION BY suite, field ORDER BY rn) AS stretch FROM fields),
+known AS (
+  SELECT *, last_value(kind IGNORE NULLS) OVER (PARTITION BY suite, field, stretch ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS former,
+    row_number() OVER (PARTITION BY suite, field, stretch ORDER BY rn) AS place,
+    last_value(kind IGNORE NULLS) OVER (PARTITION BY suite, field, stretch ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS latest,
+    lead(rn) OVER (PARTITION BY suite, field ORDER BY rn) AS again
+  FROM stretches),
+come AS (SELECT file_id, suite, rn, field, kind, row_number() OVER (PARTITION BY suite, rn, kind ORDER BY field) AS i FROM known WHERE place = 1 AND rn > 1),
+gone AS (
+  SELECT f.file_id, k.suite, f.rn, k.field, k.latest AS kind, row_number() OVER (PARTITION BY k.suite, f.rn, k.latest ORDER BY k.field) AS i
+  FROM known k JOIN files f ON f.suite = k.suite AND f.rn = k.rn + 1 WHERE k.again IS NULL OR k.again > k.rn + 1)
+SELECT file_id, field AS field_name, 'retyped' AS change_kind FROM known WHERE kind IS NOT NULL AND former IS NOT NULL AND kind <> former
+UNION ALL SELECT c.file_id, c.field, CASE WHEN g.field IS NULL THEN 'added' ELSE 'renamed' END FROM come c LEFT JOIN gone g ON g.suite = c.suite AND g.rn = c.rn AND g.kind = c.kind AND g.i = c.i
+UNION ALL SELECT g.file_id, g.field, 'removed' FROM gone g WHERE NOT EXISTS (SELECT 1 FROM come c WHERE c.suite = g.suite AND c.rn = g.rn AND c.kind = g.kind AND c.i = g.i)"""
+
 RUNS = "SELECT run_id, max(read_to) AS hi FROM run_log WHERE status = 'succeeded' AND read_to IS NOT NULL GROUP BY run_id UNION ALL SELECT max(run_id) + 1, TIMESTAMP '9999-01-01' FROM run_log"
 
 
@@ -37,6 +61,7 @@ def oracle_sql() -> dict[str, str]:
 WITH runs AS (SELECT run_id, hi, lag(hi) OVER (ORDER BY run_id) AS lo FROM ({RUNS}))
 SELECT run_id, collection, id AS doc_key FROM runs r JOIN stored_document d ON d.arrived_at <= r.hi
 GROUP BY run_id, collection, id HAVING max(revision) > coalesce(max(revision) FILTER (WHERE d.arrived_at <= r.lo), -1)""",
+        "p3_found": DRIFT,
         "p4_found": f"""
 WITH total AS (SELECT count(*) AS n FROM graph_edge), keys AS ({INDEX_KEYS})
 SELECT 'source' AS field_name, graph AS scope, source AS key_value FROM graph_edge WHERE source IS NOT NULL GROUP BY graph, source HAVING count(*) > 0.03 * (SELECT n FROM total)
