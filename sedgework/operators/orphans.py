@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedgework.operators import skew
+from sedgework.sources.scratch import Scratch
 
 #: A key of more children than this is swept in shards of about this many.
 ROWS_PER_SHARD = 200_000
@@ -65,16 +66,15 @@ def orphans(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     arrival time is judged as arriving before everything, a null graph is a graph of its own, a
     node without arrival time never arrives. Empty tables are allowed: without nodes all are missing.
     """
-    states = key_states(edges, nodes)
+    states = Scratch(edges.sparkSession, "orphans").keep(key_states(edges, nodes), "states")
     refs = references(edges)
-    spark = edges.sparkSession
     heavy = _heavy(states.where(F.col("shards") > 1))
     plan = skew.LoadPlan(["graph", "key"], 1, 0, heavy=heavy, bins=[0])
     flagged = skew.with_shards(refs, plan, F.xxhash64("seq")).drop("__task")
     spots = skew.replicated(states.drop("children", "shards"), plan).drop("__task")
     null_safe = flagged["key"].eqNullSafe(spots["key"]) & flagged["graph"].eqNullSafe(spots["graph"]) & (flagged["__shard"] == spots["__shard"])
     hit = flagged.join(spots, null_safe).select(flagged["graph"], flagged["key"], flagged["__shard"], "seq", "side", "at", "state", "first_born")
-    once = hit.groupBy("graph", "key", "__shard", "seq", "side").agg(F.min("at").alias("at"), F.first("state").alias("state"), F.first("first_born").alias("first_born"))
+    once = hit.groupBy("graph", "key", "__shard", "state", "first_born", "seq", "side").agg(F.min("at").alias("at"))  # state and first_born are the key's
 
     lives = lifetimes(nodes)
     checked = states.where(F.col("state") == "check").select("graph", "key")
