@@ -120,11 +120,15 @@ class Transaction:
 class Database:
     """A database in a folder. index_definitions: None for the global ones, a list for its own, an empty one for none."""
 
-    def __init__(self, spark: SparkSession, path: str, name: str = "", durability: str = "full", index_definitions: Sequence[IndexDefinition] | None = None) -> None:
+    def __init__(
+        self, spark: SparkSession, path: str, name: str = "", durability: str = "full", index_definitions: Sequence[IndexDefinition] | None = None,
+        max_size: int | None = None, max_dbs: int | None = None, max_readers: int | None = None,
+    ) -> None:
         if durability not in DURABILITY:
             raise ValueError(f"durability is one of {', '.join(DURABILITY)}")
         self.spark, self.path, self.name, self.durability = spark, path, name, durability
         self.index_definitions = index_definitions
+        self.max_size, self.max_dbs, self.max_readers = max_size, max_dbs, max_readers  # kept for callers; files have no such limits
         self.indexes: dict[str, IndexDefinition] = {}
         self.views: dict[str, V.View] = {}
         self.store: Store | None = None
@@ -153,6 +157,11 @@ class Database:
     def is_open(self) -> bool:
         return self.store is not None
 
+    @property
+    def count(self) -> int:
+        """Documents of the main collection in the latest snapshot."""
+        return self.database_stats()["entries"]
+
     def __enter__(self) -> Database:
         return self if self.is_open else self.open()
 
@@ -197,6 +206,13 @@ class Database:
     def write_transaction(self, database_names: Iterable[str] = ()) -> contextlib.AbstractContextManager[Transaction]:
         return self._boundary("write")
 
+    def call_with_transaction(self, mode: str, function: Callable[[], object]) -> object:
+        """function() inside a boundary of mode ``read`` or ``write``; its result."""
+        if mode not in ("read", "write"):
+            raise ValueError("a boundary is for read or write")
+        with self._boundary(mode):
+            return function()
+
     def _read(self, keyspace: str, schema: T.StructType) -> DataFrame:
         with self._boundary("any") as t:
             return t.read(keyspace, schema)
@@ -432,10 +448,15 @@ class Database:
         self.put_nodes([node], graph)
         return node
 
-    def put_nodes(self, nodes: Iterable[Node], graph: str = G.DEFAULT_GRAPH, sorted: bool = False) -> None:
-        """Write nodes; one that is there keeps its row id. Of repeated ids the last wins."""
-        rows = [(graph, str(n.id), encode(n.props), i) for i, n in enumerate(nodes)]
-        batch = self.spark.createDataFrame(rows, "graph string, id string, json string, ord bigint")
+    def put_nodes(self, nodes: DataFrame | Iterable[Node], graph: str = G.DEFAULT_GRAPH, sorted: bool = False) -> None:
+        """Write nodes; one that is there keeps its row id. Of repeated ids the last wins. A DataFrame has id and props, and its ord if ids repeat."""
+        if isinstance(nodes, DataFrame):
+            order = F.col("ord") if "ord" in nodes.columns else F.lit(0)
+            batch = nodes.select(F.lit(graph).alias("graph"), F.col("id").cast("string").alias("id"), F.to_json(F.struct("props")).alias("json"), order.cast("bigint").alias("ord"))
+            batch = batch.withColumn("json", F.get_json_object("json", "$.props"))
+        else:
+            rows = [(graph, str(n.id), encode(n.props), i) for i, n in enumerate(nodes)]
+            batch = self.spark.createDataFrame(rows, "graph string, id string, json string, ord bigint")
         batch = D.last_writes(batch, G.KEY, "ord")
         with self._boundary("write") as t:
             old = t.read("nodes", schemas.NODE)
@@ -454,10 +475,20 @@ class Database:
         self.put_edges([edge], graph)
         return edge
 
-    def put_edges(self, edges: Iterable[Edge], graph: str = G.DEFAULT_GRAPH) -> None:
-        """Write edges whose endpoints are nodes of the graph, else raise UnknownEndpoint and write none. Of repeated ids the last wins."""
+    def put_edges(self, edges: DataFrame | Iterable[Edge], graph: str = G.DEFAULT_GRAPH) -> None:
+        """Write edges whose endpoints are nodes of the graph, else raise UnknownEndpoint and write none. Of repeated ids the last wins.
+
+        A DataFrame has id, source, predicate and target, and its ord if ids repeat.
+        """
+        if isinstance(edges, DataFrame):
+            order = F.col("ord") if "ord" in edges.columns else F.lit(0)
+            batch = edges.select(F.lit(graph).alias("graph"), "id", "source", F.coalesce("predicate", F.lit(DEFAULT_PREDICATE)).alias("predicate"), "target", order.cast("bigint").alias("ord"))
+            self._write_edges(D.last_writes(batch, G.KEY, "ord"))
+            return
         rows = [(graph, str(e.id), str(e.source), str(e.predicate), str(e.target), i) for i, e in enumerate(edges)]
-        batch = D.last_writes(self.spark.createDataFrame(rows, "graph string, id string, source string, predicate string, target string, ord bigint"), G.KEY, "ord")
+        self._write_edges(D.last_writes(self.spark.createDataFrame(rows, "graph string, id string, source string, predicate string, target string, ord bigint"), G.KEY, "ord"))
+
+    def _write_edges(self, batch: DataFrame) -> None:
         with self._boundary("write") as t:
             G.check_endpoints(batch, t.read("nodes", schemas.NODE))
             old = t.read("edges", schemas.EDGE)
