@@ -7,9 +7,9 @@ spike if it also stands off from its stretch by more than ``CUT`` standard devia
 physics hold without a score: a reading that is no finite number above zero, and one of at least
 ``STUCK`` successive equal readings.
 
-Series are processed whole in one task each while they have at most ``CHUNK`` readings. Longer ones are ranked by time,
-hour by hour, and cut into chunks of CHUNK readings that also get MARGIN readings of each neighbour; a
-reading is judged in its own chunk only.
+Repeats are removed first. Series are processed whole in one task each while they have at most ``CHUNK`` readings, nulls
+not counted. Longer ones are ranked by time, hour by hour, and cut into chunks of CHUNK readings that also get MARGIN readings
+of each neighbour; a reading is judged in its own chunk only.
 """
 
 from __future__ import annotations
@@ -61,6 +61,14 @@ def judge(values: np.ndarray, hours: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"score": score, "deviation": z, "run_length": runs.astype("int64"), "reason": reason})
 
 
+def _once(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows with one row for each ``__id`` of a series, the first delivered, by partial aggregates; of rows that arrived together the least. Rows without ``__id`` all stay."""
+    rest = [c for c in rows.columns if c not in {*keys, "__id"}]
+    first = F.min(F.struct(F.col("__arrived").isNull().alias("__late"), *[F.col(c) for c in ["__arrived", *[c for c in rest if c != "__arrived"]]])).alias("__first")
+    one = rows.where(F.col("__id").isNotNull()).groupBy(*keys, "__id").agg(first)
+    return one.select(*keys, "__id", *[F.col("__first")[c].alias(c) for c in rest]).unionByName(rows.where(F.col("__id").isNull()))
+
+
 def judged(readings: DataFrame, fields: Sequence[str], series: Sequence[str] = ("runner", "metric"), item: str = "measurement_id", at: str = "measured_at", cases_only: bool = False) -> DataFrame:
     """One row per non-null reading: item, field_name, score, deviation, run_length, reason (null if ordinary).
 
@@ -75,28 +83,28 @@ def judged(readings: DataFrame, fields: Sequence[str], series: Sequence[str] = (
     out = T.StructType([T.StructField(item, types[item]), T.StructField("field_name", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("deviation", T.DoubleType()), T.StructField("run_length", T.LongType()), T.StructField("reason", T.StringType())])
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("arrived_at", kind="stable", na_position="last")
-        group = group[group["__id"].isna() | ~group["__id"].duplicated()]
+        group = group.sort_values("__arrived", kind="stable", na_position="last")
         group = group.sort_values(["__at", "__id"], kind="stable", na_position="first")
-        hours = pd.to_datetime(group["__at"]).dt.hour.to_numpy(dtype=float)
         parts = []
         for i, name in enumerate(fields):
-            there = ~group[f"__null{i}"].to_numpy(dtype=bool)
-            values = group[f"__f{i}"].to_numpy(dtype=float)[there]
-            found = judge(values, hours[there])
+            own = group[group["__field"] == i]
+            found = judge(own["__value"].to_numpy(dtype=float), pd.to_datetime(own["__at"]).dt.hour.to_numpy(dtype=float))
             found.insert(0, "field_name", name)
-            found.insert(0, item, group["__id"].to_numpy()[there])
-            keep = group["__core"].to_numpy(dtype=bool)[there]
+            found.insert(0, item, own["__id"].to_numpy())
+            keep = own["__core"].to_numpy(dtype=bool)
             if cases_only:
-                keep &= found["reason"].notna().to_numpy()
+                keep = keep & found["reason"].notna().to_numpy()
             parts.append(found[keep])
         return pd.concat(parts, ignore_index=True)
 
-    slim = readings.select(*series, item, at, "arrived_at", *fields)
-    cut = chunked(slim, series, at, item, CHUNK, MARGIN)
-    # null and NaN are one in pandas, so which readings are null goes along
-    cut = cut.select(*[F.col(c).alias(f"__s{i}") for i, c in enumerate(series)], "__chunk", "__core", "arrived_at", F.col(item).alias("__id"), F.col(at).alias("__at"), *[F.col(f).cast("double").alias(f"__f{i}") for i, f in enumerate(fields)], *[F.col(f).isNull().alias(f"__null{i}") for i, f in enumerate(fields)])
-    return cut.groupBy(*[f"__s{i}" for i in range(len(series))], "__chunk").applyInPandas(one, out)
+    keys = [f"__s{i}" for i in range(len(series))]
+    values = [f"__f{i}" for i in range(len(fields))]
+    slim = readings.select(*[F.col(c).alias(k) for c, k in zip(series, keys, strict=True)], F.col(item).alias("__id"), F.col(at).alias("__at"), F.col("arrived_at").alias("__arrived"), *[F.col(f).cast("double").alias(v) for f, v in zip(fields, values, strict=True)])
+    each = F.array(*[F.struct(F.lit(i).alias("__field"), F.col(v).alias("__value")) for i, v in enumerate(values)])
+    long = _once(slim, keys).select(*keys, "__id", "__at", "__arrived", F.inline(each)).where(F.col("__value").isNotNull())
+    # chunks of one number of all fields go to one task; each field is cut by itself
+    cut = chunked(long, [*keys, "__field"], "__at", "__id", CHUNK, MARGIN)
+    return cut.drop("__long").groupBy(*keys, "__chunk").applyInPandas(one, out)
 
 
 def cases(readings: DataFrame, fields: Iterable[str], **how: object) -> DataFrame:

@@ -78,6 +78,36 @@ def test_long_series_in_chunks(spark, rows, monkeypatch):
     assert found(df, rows) == whole
 
 
+def test_many_copies_in_a_long_series(spark, rows, monkeypatch):
+    """Copies of one measurement fill no chunks, more of them than the margin."""
+    values = normal(300)
+    values[120], values[202] = 0.0, 40.0
+    df = frame(spark, values)
+    copies = df.where("measurement_id in (120, 202)").crossJoin(spark.range(700).withColumnRenamed("id", "n")).withColumn("arrived_at", F.expr("arrived_at + make_dt_interval(0, 1 + n * 389 % 701)")).drop("n")
+    late = df.where("measurement_id = 50").withColumns({"arrived_at": F.lit(None).cast("timestamp_ntz"), "x": F.lit(-1.0)})
+    df = df.unionByName(copies).unionByName(late)
+    whole = found(df, rows)
+    assert whole == [(120,), (202,)]
+    monkeypatch.setattr(spikes, "CHUNK", 100)
+    monkeypatch.setattr(spikes, "MARGIN", 30)
+    assert found(df, rows) == whole
+    assert spikes.judged(df, ["x"]).count() == 300
+
+
+def test_margin_counts_readings_of_the_field(spark, rows, monkeypatch):
+    """A field with a reading in every twentieth row has as wide a margin as the others."""
+    values = [v if i % 20 == 0 else None for i, v in enumerate(normal(1000))]
+    for i in range(40, 140, 20):
+        values[i] = 1.0
+    df = frame(spark, values, others=normal(1000, seed=5))
+    every = lambda: rows(spikes.cases(df, ["x", "y"]))
+    whole = every()
+    assert whole == sorted([(i, "x") for i in range(40, 140, 20)], key=str)
+    monkeypatch.setattr(spikes, "CHUNK", 100)
+    monkeypatch.setattr(spikes, "MARGIN", 30)
+    assert every() == whole
+
+
 def test_run_lengths():
     assert list(run_lengths(np.array([1.0, 1.0, 2.0, np.nan, np.nan, 2.0]))) == [2, 2, 1, 1, 1, 1]
     assert list(run_lengths(np.array([]))) == []
