@@ -26,8 +26,8 @@ from sedgework.llm import phrases
 
 #: Share of a body's characters from which it is residue.
 COVERAGE = 0.3
-#: A document whose matches are a smaller share than this of all its text isn't looked at closer: its frame alone can't be so large.
-FRAME = 0.03
+#: A smaller share of the body than this counts as none: single words that messages and prose have in common.
+LEAST = 0.03
 #: An opening paragraph is a title in bold with at most so many characters.
 OPENING = 260
 
@@ -140,20 +140,12 @@ def body(folded: str) -> str:
 
 
 def coverage(folded: str) -> float:
-    """Share of the body that is residue; 0 for an empty body."""
-    words = folded.split()
-    flat = " ".join(words)
-    if matched(flat) < FRAME * len(flat) and not _much_latin(words):
-        return 0.0
+    """Share of the body that is residue; 0 for an empty body and for a share under ``LEAST``. The frame, however long, has no part in it."""
     own = body(folded)
     if not own:
         return 0.0
-    return min(1.0, max(matched(own), latin(own)) / len(own))
-
-
-def _much_latin(words: list[str]) -> bool:
-    """Whether Latin filler can be a body: eight words of it, and one in a hundred."""
-    return len(phrases.LATIN.intersection(words)) >= 4 and sum(w in phrases.LATIN for w in words) >= max(8, FRAME * len(words))
+    share = min(1.0, max(matched(own), latin(own)) / len(own))
+    return share if share >= LEAST else 0.0
 
 
 _WORD = r"[^\W\d_][\w.-]{0,38}"

@@ -74,6 +74,17 @@ def test_ordinary(text):
     assert count == 0 and share < residue.COVERAGE / 2
 
 
+FRAMES = ["{{Infobox place\n" + "| field = some value of it\n" * 90 + "}}\n\n", "[[Category:Some villages]]\n" * 120, "<head><style>" + "p { margin: 0 }\n" * 150 + "</style></head>\n", "{|\n" + "|-\n| a || b\n" * 200 + "|}\n\n", "<!-- " + "kept for later " * 150 + "-->\n"]
+
+
+@pytest.mark.parametrize("frame", FRAMES)
+@pytest.mark.parametrize("text", ["Page not found", "please enable JavaScript to view this page", "please <b>enable</b> JavaScript", "Lorem amet dolor elit"])
+def test_long_frames(frame, text):
+    """However long the frame is, the body decides."""
+    assert residue.judge(frame + text)[1] >= residue.COVERAGE
+    assert residue.judge(frame + ARTICLE) == (0, 0.0)
+
+
 def test_long_text():
     long = (ARTICLE + "\n\n") * 5000
     assert residue.judge(long) == (0, 0.0)
