@@ -60,5 +60,8 @@ FIELDS = frozenset(
 #: Behaviour switches of wikis, which look like placeholders.
 SWITCHES = frozenset("notoc forcetoc toc noeditsection newsectionlink nonewsectionlink nogallery hiddencat expectunusedcategory index noindex staticredirect disambig notitleconvert notc nocontentconvert nocc archivedtalk notalk".split())
 
+#: Names that web servers sign their error pages with.
+SERVERS = ("nginx", "openresty", "tengine", "apache", "apache tomcat", "cloudflare", "cloudfront", "microsoft-iis", "iis", "lighttpd", "litespeed", "caddy", "varnish", "squid", "envoy", "gunicorn", "jetty", "haproxy", "akamaighost")
+
 #: Ways to speak of a placeholder instead of leaving one.
 MENTIONS = ("form-letter", "form letter", "is left in", "are left in", "in the draft", "placeholder", "parameter", "syntax", "is written", "notation", "boilerplate", "struck out", "filled in before", "platzhalter", "vorlage", "espace reserve", "gabarit", "marcador", "plantilla", "заполнитель", "шаблон", "symbol zastepczy", "szablon", "プレースホルダ", "テンプレート")

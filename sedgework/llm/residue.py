@@ -2,7 +2,7 @@
 
 Phrases of error pages, filler and script notices in seven languages are matched by one automaton in one pass
 over the folded text. A document is a case when the matches cover at least ``COVERAGE`` of its body: of what is left without
-title, headings, categories, templates, tags and an opening paragraph. Pages that quote such
+title, headings, categories, templates, tags and an opening paragraph, or of the frame's own text if nothing else is left. Pages that quote such
 messages have a body of other sentences and stay far below.
 
 Unfilled placeholders count one by one: one in the page's own sentences or infobox is enough. Placeholders shown
@@ -109,42 +109,56 @@ def latin(folded: str) -> int:
     return sum(map(len, own)) + len(own)
 
 
-_FRAME = re.compile(
-    r"<!--.*?-->|<!doctype[^>]*>|<head\b.*?</head>|<h\d\b[^>]*>.*?</h\d>|<address\b.*?</address>|<ref\b[^>/]*>.*?</ref>|<gallery\b.*?</gallery>|<(pre|nowiki|code|syntaxhighlight|source|math)\b[^>]*>.*?</\1>|\{\|.*?\n\|\}|^\s*=+[^=\n]+=+\s*$|\[\[[^\[\]:|]{1,20}:[^\[\]]*\]\]|__[a-z]+__|<\|[a-z]+\|>",
-    re.S | re.M,
-)
+_NOTES = r"<!--.*?-->|<!doctype[^>]*>|<ref\b[^>/]*>.*?</ref>|<gallery\b.*?</gallery>|^\s*=+[^=\n]+=+\s*$|\[\[[^\[\]:|]{1,20}:[^\[\]]*\]\]|__[a-z]+__|<\|[a-z]+\|>"
+_FRAME = re.compile(rf"{_NOTES}|<head\b.*?</head>|<h\d\b[^>]*>.*?</h\d>|<address\b.*?</address>|<(pre|nowiki|code|syntaxhighlight|source|math)\b[^>]*>.*?</\1>|\{{\|.*?\n\|\}}", re.S | re.M)
+#: The frame of a page whose message is in its headings, head, tables or preformatted text.
+_THIN_FRAME = re.compile(rf"{_NOTES}|<(style|script)\b[^>]*>.*?</\1>", re.S | re.M)
 _TAGS = re.compile(r"<[^<>\n]{0,200}>")
 _TEMPLATE = re.compile(r"\{\{[^{}]*\}\}")
 _BLANK_LINES = re.compile(r"\n\s*\n")
 _MARKUP = re.compile(r"'{2,}|\[\[|\]\]")
 
 
-def body(folded: str) -> str:
-    """What a folded text says besides its frame, blanks single. An opening paragraph goes if something else is left."""
-    text = _FRAME.sub("\n\n", folded)
-    while (shorter := _TEMPLATE.sub("", text)) != text:
-        text = shorter
-    text = _TAGS.sub(" ", text)
-    paragraphs = [p.strip() for p in _BLANK_LINES.split(text)]
+_SENTENCE = re.compile(r"\n|[.。!?]\s")
+_LINE_END = re.compile(r"[.。!?][ \t]*\n")
+_SERVER = re.compile(rf"(?:{'|'.join(map(re.escape, phrases.SERVERS))})(?:[/ ][\w.+-]+)?(?: \([^()]*\))?(?: server)?(?: at \S+)?(?: port \d+)?")
+
+
+def _said(text: str) -> list[str]:
+    """What a text whose frame is off may be taken to say, blanks single. An opening paragraph goes but for what is residue by itself; the last reading is that without all of it."""
+    paragraphs = [p.strip() for p in _BLANK_LINES.split(_TAGS.sub(" ", text))]
     paragraphs = [p for p in paragraphs if p]
     clean = lambda p: _SPACE.sub(" ", _MARKUP.sub("", p)).strip(" \t*#:;")
+    heads = [""]
     if paragraphs and paragraphs[0].startswith("'''") and len(paragraphs[0]) <= OPENING:
         title = re.match(r"'''.*?'''\s*", paragraphs[0], re.S)
         rest = paragraphs[0][title.end() :] if title else paragraphs[0]
+        paragraphs = paragraphs[1:]
         first = clean(rest)
-        if not first or 2 * (matched(first) + latin(first)) < len(first):
-            paragraphs = paragraphs[1:]
+        if first and 2 * (matched(first) + latin(first)) >= len(first):
+            heads = [rest]
         else:
-            paragraphs[0] = rest
-    return " ".join(x for x in map(clean, paragraphs) if x)
+            ends = [m.end() for m in [_SENTENCE.search(rest), *_LINE_END.finditer(rest)] if m]
+            heads = [*[rest[end:] for end in ends], ""]
+    return [" ".join(x for x in map(clean, [head, *paragraphs]) if x) for head in heads]
+
+
+def bodies(folded: str) -> list[str]:
+    """What a folded text may be taken to say besides its frame. If that is nothing or a server's name, the message may be in the frame: in headings, head, tables and preformatted text, or else in anything but tags."""
+    found: list[str] = []
+    for frame in (_FRAME, _THIN_FRAME, None):
+        text = frame.sub("\n\n", folded) if frame else folded
+        while frame and (shorter := _TEMPLATE.sub("", text)) != text:
+            text = shorter
+        found += _said(text)
+        if found[-1] and not _SERVER.fullmatch(found[-1]):
+            break
+    return [x for x in found if x]
 
 
 def coverage(folded: str) -> float:
     """Share of the body that is residue; 0 for an empty body and for a share under ``LEAST``. The frame, however long, has no part in it."""
-    own = body(folded)
-    if not own:
-        return 0.0
-    share = min(1.0, max(matched(own), latin(own)) / len(own))
+    share = max((min(1.0, max(matched(own), latin(own)) / len(own)) for own in bodies(folded)), default=0.0)
     return share if share >= LEAST else 0.0
 
 
@@ -158,7 +172,6 @@ _PLACEHOLDER = re.compile(
 )
 _FIELDS, _MENTIONS = frozenset(map(fold, phrases.FIELDS)), tuple(map(fold, phrases.MENTIONS))
 _CODE = re.compile(r"<(pre|nowiki|code|syntaxhighlight|source|math)\b[^>]*>.*?</\1>|<!--.*?-->", re.S)
-_SENTENCE = re.compile(r"\n|[.。!?]\s")
 
 
 def placeholders(folded: str) -> int:

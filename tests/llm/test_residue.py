@@ -85,6 +85,35 @@ def test_long_frames(frame, text):
     assert residue.judge(frame + ARTICLE) == (0, 0.0)
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "'''X''' is a village in Y. In 1987 it had 883 inhabitants.\nService unavailable",
+        "'''X''' is a village in Y. In 1987 it had 883 inhabitants, most of whom worked in the mill by the river.\nService unavailable",
+        "<html>\n<head><title>404 Not Found</title></head>\n<body>\n<center><h1>404 Not Found</h1></center>\n<hr><center>nginx</center>\n</body>\n</html>",
+        "<html><head><style>" + "p { margin: 0 }\n" * 50 + "</style><title>502 Bad Gateway</title></head><body><h1>502 Bad Gateway</h1><hr>nginx/1.18.0 (Ubuntu)</body></html>",
+        "<pre>Traceback (most recent call last):\n  File \"render.py\", line 403, in expand\nKeyError: 'x'</pre>",
+        "'''X''' is a village.\n<pre>Traceback (most recent call last):\n  File \"render.py\", line 403, in expand\nKeyError: 'x'</pre>\n[[Category:Villages]]",
+        "{| class=x\n|-\n| Page not found\n|}",
+    ],
+)
+def test_message_in_the_opening_or_frame(text):
+    assert residue.judge(text)[1] >= residue.COVERAGE
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "'''X''' is a village in Y. In 1987 it had 883 inhabitants.",
+        "<html><head><title>Welcome</title></head><body><h1>Welcome</h1><center>nginx</center></body></html>",
+        "<pre>for x in range(9):\n    print(x)</pre>",
+        "'''X''' was a browser that told its users\n\"please enable JavaScript\" and, from the second version of 1996 on, nothing else.",
+    ],
+)
+def test_ordinary_opening_or_frame(text):
+    assert residue.judge(text)[1] < residue.COVERAGE
+
+
 def test_long_text():
     long = (ARTICLE + "\n\n") * 5000
     assert residue.judge(long) == (0, 0.0)
