@@ -42,6 +42,13 @@ def type_of(value: object) -> str | None:
     return OBJECT if isinstance(value, dict) else ARRAY
 
 
+def width_of(value: object) -> int:
+    """0 for whole numbers of 64 bits and all that is no whole number, 1 for longer ones of at most 38 digits, 2 beyond."""
+    if isinstance(value, bool) or not isinstance(value, int) or -(2**63) <= value < 2**63:
+        return 0
+    return 1 if abs(value) < 10**38 else 2
+
+
 def sketch(value: object) -> list[float]:
     """A few numbers in [0, 1] that describe a value whatever its type: length, shares of digits, letters and hex digits, variety."""
     text = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)

@@ -29,7 +29,7 @@ CHANGES = "file_id bigint, field_name string, change_kind string, former_name st
 
 
 def profiles(files: DataFrame) -> DataFrame:
-    """file_id, suite, committed_at and layout of the files whose body is a JSON object; layout is JSON: field -> [type or null, sketch].
+    """file_id, suite, committed_at and layout of the files whose body is a JSON object; layout is JSON: field -> [type or null, sketch, layouts.width_of].
 
     Written once, so that bodies are parsed once however often the profiles are read.
     """
@@ -37,7 +37,7 @@ def profiles(files: DataFrame) -> DataFrame:
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [layouts.parse_object(b) for b in batch["body"]]
-            texts = [None if o is None else json.dumps({k: [layouts.type_of(v), None if v is None else layouts.sketch(v)] for k, v in o.items()}) for o in found]
+            texts = [None if o is None else json.dumps({k: [layouts.type_of(v), None if v is None else layouts.sketch(v), layouts.width_of(v)] for k, v in o.items()}) for o in found]
             batch = batch.drop(columns="body").assign(layout=texts)
             yield batch[batch["layout"].notna()]
 
@@ -46,7 +46,7 @@ def profiles(files: DataFrame) -> DataFrame:
 
 
 def _load(text: str | None) -> layouts.State | None:
-    return None if text is None else {k: tuple(x) for k, x in json.loads(text).items()}
+    return None if text is None else {k: tuple(x[:2]) for k, x in json.loads(text).items()}
 
 
 def _ordered(group: pd.DataFrame) -> pd.DataFrame:
@@ -128,18 +128,22 @@ def unified(files: DataFrame) -> DataFrame:
     """One table of all files that are JSON objects: file_id, suite, committed_at and a column per field, renamed fields in one.
 
     A column is bigint, double or boolean if all its values are whole, numbers or booleans; else it is
-    string, objects and arrays being JSON text. Whole numbers beyond 64 bits make a column double. Columns are in order
-    of name; one that clashes with file_id, suite or committed_at gets ``field_`` before its name.
+    string, objects and arrays being JSON text. A bigint column with whole numbers beyond 64 bits is decimal(38,0) instead;
+    with one of more than 38 digits, it, or a double column, is string. Columns are in order of name; one that clashes with file_id, suite or committed_at gets ``field_`` before its name.
     """
     profiled = profiles(files)
     to = one_names(profiled, changes_of(profiled))
     kinds: dict[str, set[str]] = {}
-    seen = profiled.select(F.explode(F.from_json("layout", "map<string, array<string>>")).alias("name", "x")).select("name", F.element_at("x", 1).alias("kind")).distinct()
-    for name, kind in seen.collect():
+    widths: dict[str, int] = {}
+    seen = profiled.select(F.explode(F.from_json("layout", "map<string, array<string>>")).alias("name", "x")).select("name", F.element_at("x", 1).alias("kind"), F.element_at("x", 3).cast("int").alias("width")).distinct()
+    for name, kind, width in seen.collect():
+        widths[to[name]] = max(width, widths.get(to[name], 0))
         kinds.setdefault(to[name], set()).update({kind} if kind else set())
     columns = sorted(kinds)
     type_name = {frozenset(): "string", frozenset({layouts.WHOLE}): "bigint", frozenset({layouts.POINT}): "double", frozenset({layouts.WHOLE, layouts.POINT}): "double", frozenset({layouts.BOOLEAN}): "boolean"}
+    wider = {("bigint", 1): "decimal(38,0)", ("bigint", 2): "string", ("double", 2): "string"}
     types = [type_name.get(frozenset(kinds[c]), "string") for c in columns]
+    types = [wider.get((t, widths[c]), t) for t, c in zip(types, columns, strict=True)]
     fixed = {"file_id", "suite", "committed_at"}
     names = [f"field_{c}" if c in fixed else c for c in columns]
     quoted = ["`" + n.replace("`", "``") + "`" for n in names]
@@ -158,5 +162,5 @@ def unified(files: DataFrame) -> DataFrame:
             yield out
 
     raw = files.select("file_id", "suite", F.col("committed_at").cast("timestamp").alias("committed_at"), "body").mapInPandas(spread, "file_id bigint, suite string, committed_at timestamp, " + ", ".join(f"{q} string" for q in quoted))
-    wide = {"bigint": "try_cast({} as bigint)", "double": "try_cast({} as double)", "boolean": "try_cast({} as boolean)", "string": "{}"}
+    wide = {"bigint": "try_cast({} as bigint)", "decimal(38,0)": "try_cast({} as decimal(38,0))", "double": "try_cast({} as double)", "boolean": "try_cast({} as boolean)", "string": "{}"}
     return raw.selectExpr("file_id", "suite", "committed_at", *[f"{wide[t].format(q)} as {q}" for q, t in zip(quoted, types, strict=True)])

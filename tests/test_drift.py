@@ -71,6 +71,18 @@ def test_unified_table(spark, rows):
     assert rows(found, "file_id", "schemaVersion", "n", "ok", "meta", "field_file_id") == [(1, 1, 1.0, None, None, "f"), (2, 2, 2.5, True, None, "g"), (3, 3, None, None, '{"x": 1}', None)]
 
 
+def test_whole_numbers_beyond_64_bits(spark, rows):
+    """None is lost; that a number is longer is no change of type."""
+    data = files({"a": 1, "b": 2**63 - 1, "c": 10**38, "d": 1.5, "e": 0.5}, {"a": 2**63, "b": -(2**63), "c": 7, "d": 10**20, "e": -(10**400)}, {"a": -(10**38) + 1, "b": None, "c": None, "d": None, "e": None})
+    df = spark.createDataFrame(data, FILE)
+    found = drift.unified(df)
+    types = dict(found.dtypes)
+    assert [types[c] for c in "abcde"] == ["decimal(38,0)", "bigint", "string", "double", "string"]
+    assert [int(r[0]) for r in found.orderBy("file_id").select("a").collect()] == [1, 2**63, -(10**38) + 1]
+    assert rows(found.where("b is not null"), "b", "c", "d", "e") == sorted([(2**63 - 1, str(10**38), 1.5, "0.5"), (-(2**63), "7", 1e20, str(-(10**400)))], key=str)
+    assert rows(drift.changes(df), "field_name", "change_kind") == [("d", "retyped"), ("e", "retyped")]
+
+
 def test_fields_found_together_stay_apart(spark):
     data = files({"a": "x"}, {"b": "x"}, {"a": "x", "b": "y"})
     assert {"a", "b"} <= set(drift.unified(spark.createDataFrame(data, FILE)).columns)
