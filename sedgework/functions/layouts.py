@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 #: The types a field's value can have; null is none.
@@ -55,10 +56,9 @@ def sketch(value: object) -> list[float]:
     n = len(text)
     if not n:
         return [0.0] * 5
-    part = text[:4096]
-    k = len(part)
-    hexes = sum(c in "0123456789abcdef" for c in part)
-    return [round(x, 4) for x in (min(1.0, math.log1p(n) / 12), sum(c.isdigit() for c in part) / k, sum(c.isalpha() for c in part) / k, hexes / k, len(set(part)) / min(k, 64))]
+    count = Counter(text)
+    share = lambda among: sum(m for c, m in count.items() if among(c)) / n
+    return [round(x, 4) for x in (min(1.0, math.log1p(n) / 12), share(str.isdigit), share(str.isalpha), share("0123456789abcdef".__contains__), len(count) / min(n, 64))]
 
 
 def words(name: str) -> list[str]:

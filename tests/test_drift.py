@@ -93,6 +93,11 @@ def test_name_similarity():
     assert layouts.name_similarity("run_count", "runs") > layouts.name_similarity("run_count", "aggregation")
 
 
+def test_sketch_sees_the_whole_value():
+    assert layouts.sketch("7" * 5000 + "x" * 5000)[1:] == [0.5, 0.5, 0.5, round(2 / 64, 4)]
+    assert layouts.sketch("ab1") == [round(1.3862943611 / 12, 4), round(1 / 3, 4), round(2 / 3, 4), 1.0, 1.0]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 4).flatmap(lambda n: st.integers(n, 5).flatmap(lambda m: st.lists(st.lists(st.floats(0, 9), min_size=m, max_size=m), min_size=n, max_size=n))))
 def test_assignment_is_least(cost):
