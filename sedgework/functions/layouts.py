@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 #: The types a field's value can have; null is none.
 STRING, WHOLE, POINT, BOOLEAN, OBJECT, ARRAY = "string", "whole", "point", "boolean", "object", "array"
@@ -14,24 +16,89 @@ STRING, WHOLE, POINT, BOOLEAN, OBJECT, ARRAY = "string", "whole", "point", "bool
 CARRIED = "?"
 
 
+@dataclass(frozen=True)
+class Deep:
+    """A value nested deeper than Python's own reader goes: its type and its JSON text."""
+
+    kind: str
+    text: str
+
+
 def _no_constant(name: str) -> None:
     raise ValueError(f"{name} is no JSON")
 
 
 def parse_object(body: str | None) -> dict | None:
-    """The object that body is, None if it is null, no JSON, no object, or nested deeper than can be read. Of a repeated name the last value holds."""
+    """The object that body is, None if it is null, no JSON or no object. Of a repeated name the last value holds.
+
+    Numbers have any number of digits and values any depth; one too deep for Python's reader comes as Deep.
+    """
     if body is None:
         return None
+    sys.set_int_max_str_digits(0)
     try:
         found = json.loads(body, parse_constant=_no_constant)
-    except (ValueError, RecursionError):
+    except RecursionError:
+        return _shallow(body)
+    except ValueError:
         return None
     return found if isinstance(found, dict) else None
 
 
+_TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\]:,])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(true|false|null|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?))')
+_SPACES = re.compile(r"[ \t\n\r]*")
+
+
+def _shallow(body: str) -> dict | None:
+    """parse_object without recursion: the whole text is checked, values of the top level that hold others are kept as text."""
+    found: dict = {}
+    stack: list[str] = []
+    # what may come: a value, a value or the end, a name, a name or the end, a colon, a comma or the end
+    expect, at, name, begin = "value", 0, None, 0
+    while True:
+        token = _TOKEN.match(body, at)
+        if not token:
+            return None
+        sign, text, other = token.groups()
+        start, at = token.start(token.lastindex), token.end()
+        if text is not None and expect in ("name", "name_or_end"):
+            if len(stack) == 1:
+                name = json.loads(text)
+            expect = "colon"
+            continue
+        if sign == ":" and expect == "colon":
+            expect = "value"
+            continue
+        if sign == "," and expect == "next":
+            expect = "name" if stack[-1] == "{" else "value"
+            continue
+        if sign in ("{", "[") and expect in ("value", "value_or_end"):
+            if not stack and sign == "[":
+                return None
+            if len(stack) == 1:
+                begin = start
+            stack.append(sign)
+            expect = "name_or_end" if sign == "{" else "value_or_end"
+            continue
+        if sign in ("}", "]") and expect in ("next", "name_or_end" if sign == "}" else "value_or_end") and stack[-1] == ("{" if sign == "}" else "["):
+            stack.pop()
+            if not stack:
+                return found if _SPACES.fullmatch(body, at) else None
+            if len(stack) == 1:
+                found[name] = Deep(OBJECT if sign == "}" else ARRAY, body[begin:at])
+        elif sign is None and stack and expect in ("value", "value_or_end"):
+            if len(stack) == 1:
+                found[name] = json.loads(text or other)
+        else:
+            return None
+        expect = "next"
+
+
 def type_of(value: object) -> str | None:
     if value is None:
         return None
+    if isinstance(value, Deep):
+        return value.kind
     if isinstance(value, bool):
         return BOOLEAN
     if isinstance(value, int):
@@ -50,9 +117,16 @@ def width_of(value: object) -> int:
     return 1 if abs(value) < 10**38 else 2
 
 
+def text_of(value: object) -> str:
+    """A string as it is, anything else as JSON text."""
+    if isinstance(value, str):
+        return value
+    return value.text if isinstance(value, Deep) else json.dumps(value, ensure_ascii=False)
+
+
 def sketch(value: object) -> list[float]:
     """A few numbers in [0, 1] that describe a value whatever its type: length, shares of digits, letters and hex digits, variety."""
-    text = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    text = text_of(value)
     n = len(text)
     if not n:
         return [0.0] * 5

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 import numpy as np
 
 #: Least readings of a stretch at one level, and the t value from which two stretches differ in level.
@@ -27,11 +30,10 @@ def _side_medians(y: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, np.ndar
     before = np.cumsum(clean) - clean  # clean values before each place
     padded = np.r_[np.full(SIDE, np.nan), y[at], np.full(SIDE, np.nan)]
     windows = np.lib.stride_tricks.sliding_window_view(padded, SIDE)  # window j ends before clean value j
-    import warnings
-
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore", RuntimeWarning)
-        middle = np.nanmedian(windows, axis=1)
+    ordered = np.sort(windows, axis=1)  # NaN comes last
+    valid = SIDE - np.isnan(windows).sum(axis=1)
+    pick = lambda i: np.take_along_axis(ordered, np.clip(i, 0, SIDE - 1)[:, None], axis=1)[:, 0]
+    middle = np.where(valid > 0, (pick((valid - 1) // 2) + pick(valid // 2)) / 2, np.nan)
     left = middle[before]
     right = middle[np.minimum(before + clean + SIDE, k + SIDE)]
     return left, right
@@ -119,48 +121,66 @@ def average_path(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(m) + 0.5772156649) - 2 * m / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def isolation_scores(features: np.ndarray, trees: int = 32, sample: int = 256, seed: int = 0) -> np.ndarray:
-    """Isolation forest over the rows of features: scores in (0, 1], above 0.5 for rows that are cut off sooner than the average row.
-
-    Each tree is grown on at most ``sample`` rows, drawn at random, and scores all rows. All trees grow level by
-    level together, to depth log2(sample).
+@dataclass(frozen=True)
+class Forests:
+    """Isolation forests of several sources, grown together. Arrays are by (source, tree, node), nodes of a tree being numbered as in a heap from 1."""
+
+    feature: np.ndarray
+    split: np.ndarray
+    count: np.ndarray
+    sizes: np.ndarray
+    trees: int
+    depth: int
+
+    def scores(self, features: np.ndarray, source: np.ndarray) -> np.ndarray:
+        """Scores in (0, 1] of rows of features, each by the forest of its source; the greater, the sooner a row is cut off. 0.5 where a source has no forest."""
+        n = len(features)
+        base = (source[:, None] * self.trees + np.arange(self.trees)) << (self.depth + 1)
+        node = np.ones((n, self.trees), dtype=np.int64)
+        walked = np.zeros((n, self.trees))
+        flat, at = features.ravel(), np.arange(n)[:, None] * features.shape[1]
+        for _ in range(self.depth):
+            key = base + node
+            inner = self.count[key] > 1
+            right = flat[at + self.feature[key]] >= self.split[key]
+            node = np.where(inner, 2 * node + right, node)
+            walked += inner
+        walked += average_path(self.count[base + node])
+        usual = np.maximum(average_path(self.sizes), 1e-9)[source]
+        return np.where(self.sizes[source] > 1, 2.0 ** (-walked.mean(axis=1) / usual), 0.5)
+
+
+def grow(features: np.ndarray, source: np.ndarray, n_sources: int, weights: Sequence[float], pad: float, trees: int, seed: int = 0) -> Forests:
+    """One isolation forest per source on the rows of features (a bounded sample; source: the number of each row's).
+
+    Each tree grows to depth log2 of the largest source's rows, one more for the room around them: at a node a feature is
+    drawn by weights and a split from the range that the node's rows have in it, widened by pad on both sides. The room lets scores tell how far outside
+    a reading lies, which the range alone can't.
     """
     n, width = features.shape
-    if n < 2:
-        return np.full(n, 0.5)
+    sizes = np.bincount(source, minlength=n_sources)
+    depth = int(np.ceil(np.log2(max(2, sizes.max(initial=2))))) + 1
+    slots = n_sources * trees << (depth + 1)
     rng = np.random.default_rng(seed)
-    size = min(n, sample)
-    depth_limit = max(1, int(np.ceil(np.log2(size))))
-    picked = np.argsort(rng.random((trees, n)), axis=1)[:, :size] if size < n else None
-    within = np.zeros((trees, n), dtype=bool)
-    if picked is None:
-        within[:] = True
-    else:
-        np.put_along_axis(within, picked, True, axis=1)
-    node = np.zeros((trees, n), dtype=np.int64)
-    depth = np.zeros((trees, n))
-    alive = np.ones((trees, n), dtype=bool)
-    columns = np.arange(n)
-    base = np.arange(trees)[:, None]
-    for level in range(depth_limit):
-        nodes = 1 << level
-        key = base * nodes + node
-        slots = trees * nodes
-        count = np.bincount(key[within], minlength=slots)
-        feature = rng.integers(0, width, slots)
-        value = features[columns[None, :], feature[key]]
+    one = rng.choice(width, size=trees << (depth + 1), p=np.asarray(weights) / np.sum(weights))
+    feature = np.tile(one, n_sources)  # a source's forest doesn't depend on those it is grown with
+    chance = np.tile(rng.random(trees << (depth + 1)), n_sources)
+    split, count = np.zeros(slots), np.zeros(slots, dtype=np.int64)
+    base = ((source[:, None] * trees + np.arange(trees)) << (depth + 1)).ravel()
+    node = np.ones(n * trees, dtype=np.int64)
+    flat, at = features.ravel(), np.repeat(np.arange(n) * width, trees)
+    live = np.arange(n * trees)
+    for level in range(depth + 1):
+        key = base[live] + node[live]
+        count += np.bincount(key, minlength=slots)
+        if level == depth:
+            break
+        live = live[count[key] > 1]
+        key = base[live] + node[live]
+        value = flat[at[live] + feature[key]]
         lo, hi = np.full(slots, np.inf), np.full(slots, -np.inf)
-        order = np.argsort(key[within], kind="stable")
-        sorted_keys, sorted_values = key[within][order], value[within][order]
-        starts = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]])
-        lo[sorted_keys[starts]] = np.minimum.reduceat(sorted_values, starts)
-        hi[sorted_keys[starts]] = np.maximum.reduceat(sorted_values, starts)
-        alive &= count[key] > 1
-        with np.errstate(invalid="ignore"):
-            split = lo + rng.random(slots) * (hi - lo)
-        depth += alive
-        node = 2 * node + (alive & (value >= split[key]) & (hi[key] > lo[key]))
-    key = base * (1 << depth_limit) + node
-    left = np.bincount(key[within], minlength=trees << depth_limit)[key]
-    depth += np.where(alive, average_path(left), 0)
-    return 2.0 ** (-depth.mean(axis=0) / max(float(average_path(size)), 1e-9))
+        np.minimum.at(lo, key, value)
+        np.maximum.at(hi, key, value)
+        split[key] = lo[key] - pad + chance[key] * (hi[key] - lo[key] + 2 * pad)
+        node[live] = 2 * node[live] + (value >= split[key])
+    return Forests(feature, split, count, sizes, trees, depth)

@@ -12,7 +12,7 @@ it; the summaries, one row a chunk, are folded along the suite; then each chunk
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,6 +23,8 @@ from sedgework.operators.chunking import chunked
 from sedgework.sources.scratch import Scratch
 
 CHUNK = 2048
+#: Fields that get a column of their own in the unified table; rarer ones share one.
+COLUMNS = 5000
 
 PROFILE = "file_id bigint, suite string, committed_at timestamp, layout string"
 CHANGES = "file_id bigint, field_name string, change_kind string, former_name string"
@@ -92,24 +94,28 @@ def changes(files: DataFrame) -> DataFrame:
 
 def changes_of(profiled: DataFrame) -> DataFrame:
     """changes() of files whose profiles are known."""
-    cut = chunked(profiled, ["suite"], "committed_at", "file_id", CHUNK)
-    short = cut.where(~F.col("__long")).select("suite", "__chunk", "file_id", "committed_at", "layout", F.lit(None).cast("string").alias("before"))
-    long = cut.where(F.col("__long")).select("suite", "__chunk", "file_id", "committed_at", "layout")
-    summed = long.groupBy("suite", "__chunk").applyInPandas(_sum_up, "suite string, chunk bigint, after string")
-    begun = summed.groupBy("suite").applyInPandas(_fold, "suite string, chunk bigint, before string").select(F.col("suite").alias("s"), F.col("chunk").alias("c"), "before")
-    long = long.join(begun, long["suite"].eqNullSafe(begun["s"]) & (long["__chunk"] == begun["c"])).select(*short.columns)
-    return short.unionByName(long).groupBy("suite", "__chunk").applyInPandas(_walk, CHANGES)
+    few, many = chunked(profiled, ["suite"], "committed_at", "file_id", CHUNK)
+    short = few.select("suite", "__chunk", "file_id", "committed_at", "layout", F.lit(None).cast("string").alias("before"))
+    if many is not None:
+        long = many.select("suite", "__chunk", "file_id", "committed_at", "layout")
+        summed = long.groupBy("suite", "__chunk").applyInPandas(_sum_up, "suite string, chunk bigint, after string")
+        begun = summed.groupBy("suite").applyInPandas(_fold, "suite string, chunk bigint, before string").select(F.col("suite").alias("s"), F.col("chunk").alias("c"), "before")
+        short = short.unionByName(long.join(begun, long["suite"].eqNullSafe(begun["s"]) & (long["__chunk"] == begun["c"])).select(*short.columns))
+    return short.groupBy("suite", "__chunk").applyInPandas(_walk, CHANGES)
 
 
 def one_names(profiled: DataFrame, found: DataFrame) -> dict[str, str]:
-    """Field name -> column of the unified table. Names are metadata and come to the driver: names with their numbers of files, pairs with their numbers of renames and of files that have both.
+    """Field name -> column of the unified table, for the ``COLUMNS`` names that most files have. Only those come to the driver, with their numbers of files, renames and files together.
 
     Names that a rename joins are one column, named by the most frequent, unless some file has two of the
     column's names. Pairs renamed more often come first.
     """
     fields = profiled.select("file_id", F.explode(F.json_object_keys("layout")).alias("name"))
-    count = {r[0]: r[1] for r in fields.groupBy("name").agg(F.count(F.lit(1))).collect()}
-    links = found.where(F.col("change_kind") == "renamed").groupBy(F.least("field_name", "former_name").alias("a"), F.greatest("field_name", "former_name").alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+    top = fields.groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(COLUMNS)
+    count = {r[0]: r[1] for r in top.collect()}
+    own = top.select("name")
+    pairs = found.where(F.col("change_kind") == "renamed").groupBy(F.least("field_name", "former_name").alias("a"), F.greatest("field_name", "former_name").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    links = pairs.join(own.withColumnRenamed("name", "a"), "a", "left_semi").join(own.withColumnRenamed("name", "b"), "b", "left_semi").select("a", "b", "n").collect()
     if not links:
         return {k: k for k in count}
     linked = sorted({x for r in links for x in r[:2]})
@@ -117,50 +123,68 @@ def one_names(profiled: DataFrame, found: DataFrame) -> dict[str, str]:
     together = {frozenset(r) for r in known.alias("x").join(known.alias("y"), (F.col("x.file_id") == F.col("y.file_id")) & (F.col("x.name") < F.col("y.name"))).select("x.name", "y.name").distinct().collect()}
     group = {k: {k} for k in count}
     for a, b, _ in sorted(links, key=lambda r: (-r[2], r[0], r[1])):
-        if a in group and b in group and group[a] is not group[b] and not any(frozenset((x, y)) in together for x in group[a] for y in group[b]):
+        if group[a] is not group[b] and not any(frozenset((x, y)) in together for x in group[a] for y in group[b]):
             both = group[a] | group[b]
             for x in both:
                 group[x] = both
     return {k: max(g, key=lambda x: (count[x], x)) for k, g in group.items()}
 
 
+def column_names(fields: Sequence[str], taken: Iterable[str]) -> list[str]:
+    """Names for columns that Spark can tell apart, case aside: a field's own, ``field_`` before one that is taken, a number after one that differs in case only."""
+    used = {t.lower() for t in taken}
+    out = []
+    for name in fields:
+        own = f"field_{name}" if name.lower() in used and name.lower() in {t.lower() for t in taken} else name
+        free, n = own, 2
+        while free.lower() in used:
+            free, n = f"{own}_{n}", n + 1
+        used.add(free.lower())
+        out.append(free)
+    return out
+
+
 def unified(files: DataFrame) -> DataFrame:
     """One table of all files that are JSON objects: file_id, suite, committed_at and a column per field, renamed fields in one.
 
     A column is bigint, double or boolean if all its values are whole, numbers or booleans; else it is
     string, objects and arrays being JSON text. A bigint column with whole numbers beyond 64 bits is decimal(38,0) instead;
-    with one of more than 38 digits, it, or a double column, is string. Columns are in order of name; one that clashes with file_id, suite or committed_at gets ``field_`` before its name.
+    with one of more than 38 digits, it, or a double column, is string. Columns are in order of name; one that clashes with file_id,
+    suite or committed_at gets ``field_`` before its name, one that differs from another in case only a number after it. If files have more than
+    ``COLUMNS`` names, the values of the rarer ones are kept in ``other_fields``, a JSON object.
     """
     profiled = profiles(files)
     to = one_names(profiled, changes_of(profiled))
     kinds: dict[str, set[str]] = {}
     widths: dict[str, int] = {}
-    seen = profiled.select(F.explode(F.from_json("layout", "map<string, array<string>>")).alias("name", "x")).select("name", F.element_at("x", 1).alias("kind"), F.element_at("x", 3).cast("int").alias("width")).distinct()
-    for name, kind, width in seen.collect():
+    seen = profiled.select(F.explode(F.from_json("layout", "map<string, array<string>>")).alias("name", "x")).groupBy("name").agg(F.collect_set(F.element_at("x", 1)).alias("kinds"), F.max(F.element_at("x", 3).cast("int")).alias("width"))
+    names_wanted = files.sparkSession.createDataFrame([(k,) for k in to], "name string")
+    for name, own, width in seen.join(names_wanted, "name", "left_semi").select("name", "kinds", "width").collect():
         widths[to[name]] = max(width, widths.get(to[name], 0))
-        kinds.setdefault(to[name], set()).update({kind} if kind else set())
+        kinds.setdefault(to[name], set()).update(own)
     columns = sorted(kinds)
     type_name = {frozenset(): "string", frozenset({layouts.WHOLE}): "bigint", frozenset({layouts.POINT}): "double", frozenset({layouts.WHOLE, layouts.POINT}): "double", frozenset({layouts.BOOLEAN}): "boolean"}
     wider = {("bigint", 1): "decimal(38,0)", ("bigint", 2): "string", ("double", 2): "string"}
     types = [type_name.get(frozenset(kinds[c]), "string") for c in columns]
     types = [wider.get((t, widths[c]), t) for t, c in zip(types, columns, strict=True)]
-    fixed = {"file_id", "suite", "committed_at"}
-    names = [f"field_{c}" if c in fixed else c for c in columns]
+    fixed = ["file_id", "suite", "committed_at"]
+    more = len(to) == COLUMNS
+    names = column_names(columns, [*fixed, "other_fields"] if more else fixed)
     quoted = ["`" + n.replace("`", "``") + "`" for n in names]
 
-    def text_of(value: object) -> str | None:
-        return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
-
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             objects = [layouts.parse_object(b) for b in batch["body"]]
             keep = [o is not None for o in objects]
             out = batch.drop(columns="body")[keep].reset_index(drop=True)
-            rows = [{to[k]: v for k, v in o.items() if v is not None} for o in objects if o is not None]
+            rows = [{to[k]: v for k, v in o.items() if v is not None and k in to} for o in objects if o is not None]
             for column, name in zip(columns, names, strict=True):
-                out[name] = pd.Series([text_of(r.get(column)) for r in rows], dtype=object)
+                out[name] = pd.Series([None if r.get(column) is None else layouts.text_of(r[column]) for r in rows], dtype=object)
+            if more:
+                rest = [{k: layouts.text_of(v) for k, v in o.items() if v is not None and k not in to} for o in objects if o is not None]
+                out["other_fields"] = pd.Series([json.dumps(r, ensure_ascii=False) if r else None for r in rest], dtype=object)
             yield out
 
-    raw = files.select("file_id", "suite", F.col("committed_at").cast("timestamp").alias("committed_at"), "body").mapInPandas(spread, "file_id bigint, suite string, committed_at timestamp, " + ", ".join(f"{q} string" for q in quoted))
+    raw = files.select("file_id", "suite", F.col("committed_at").cast("timestamp").alias("committed_at"), "body").mapInPandas(spread, "file_id bigint, suite string, committed_at timestamp, " + ", ".join(f"{q} string" for q in [*quoted, *(["other_fields"] if more else [])]))
     wide = {"bigint": "try_cast({} as bigint)", "decimal(38,0)": "try_cast({} as decimal(38,0))", "double": "try_cast({} as double)", "boolean": "try_cast({} as boolean)", "string": "{}"}
-    return raw.selectExpr("file_id", "suite", "committed_at", *[f"{wide[t].format(q)} as {q}" for q, t in zip(quoted, types, strict=True)])
+    return raw.selectExpr(*fixed, *[f"{wide[t].format(q)} as {q}" for q, t in zip(quoted, types, strict=True)], *(["other_fields"] if more else []))

@@ -1,64 +1,120 @@
 """Implausible spikes in measurements, relative to what each source normally does.
 
-Every reading of a series is scored by an isolation forest grown on that series: its level against the
-stretch around it, its step from the reading before, its level against the same time of day, and the length of the
-run of equal readings it is in. A reading that the forest cuts off sooner than the average one is a candidate; it is a
-spike if it also stands off from its stretch by more than ``CUT`` standard deviations. Two rules of
-physics hold without a score: a reading that is no finite number above zero, and one of at least
+Every reading of a series is scored by an isolation forest grown on that series' ordinary readings: its level against the
+stretch around it, its step from the ordinary reading before, its level against the same time of day, and the length of the
+run of equal readings it is in, all in units in which ``CUT`` is the limit of what is ordinary. A reading is a spike if its score is
+above the one that the same forest gives to a reading that stands off by just CUT, so each source has a threshold of its own. Two
+rules of physics hold without a score: a reading that is no finite number above zero, and one of at least
 ``STUCK`` successive equal readings.
 
-Repeats are removed first. Series are processed whole in one task each while they have at most ``CHUNK`` readings, nulls
-not counted. Longer ones are ranked by time, hour by hour, and cut into chunks of CHUNK readings that also get MARGIN readings
-of each neighbour; a reading is judged in its own chunk only.
+Repeats are removed first. Levels and spreads are those around a reading: series are read in windows of ``CHUNK`` readings, nulls
+not counted, with MARGIN readings of each neighbour; most series are one window. A forest is its whole series': it is grown on
+the ``SAMPLE`` ordinary readings of least hash and scores all readings of all windows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sedgework.functions.series import deviations, isolation_scores, run_lengths
+from sedgework.functions.series import deviations, grow, run_lengths
 from sedgework.operators.chunking import chunked
+from sedgework.sources.scratch import Scratch
 
 CHUNK, MARGIN = 4096, 256
 #: Between the four deviations within which ordinary readings stay and the six from which a reading is a case.
 CUT = 5.0
 STUCK = 5
-#: Forest scores above this are for readings cut off sooner than the average one.
-SCORE = 0.5
-TREES, SAMPLE = 32, 256
+TREES, SAMPLE = 32, 128
+#: The room around a node's range, and how often each feature is drawn.
+PAD, WEIGHTS = 4.0, (3, 1, 1, 1)
 HOURS = 6
+#: Series whose forests are grown together: arrays stay small enough for the processor's caches.
+TOGETHER = 16
 
-
-def _features(z: np.ndarray, hours: np.ndarray, runs: np.ndarray) -> np.ndarray:
-    """Level, difference, season and run length; the first three compressed, so that one huge spike doesn't hide the others."""
-    step = np.diff(z, prepend=z[:1])
-    slot = np.nan_to_num(hours).astype(int) // HOURS
-    season = pd.Series(z).groupby(slot).transform("median").to_numpy()
-    squeeze = lambda x: np.sign(x) * np.log1p(np.abs(x))
-    columns = [squeeze(z), squeeze(step), squeeze(z - season), np.log1p(runs.astype(float))]
-    varied = [c for c in columns if len(c) and c.max() > c.min()]
-    return np.stack(varied, axis=1) if varied else np.zeros((len(z), 1))
+FEATURES = ["__level", "__step", "__season", "__run"]
+#: A step is the difference of two readings; a run of STUCK readings is at the limit.
+_STEP, _RUN = 1 / np.sqrt(2), CUT / (STUCK - 1)
+#: Readings that stand off by just CUT, upwards and downwards, after a reading at the level.
+PROBES = np.array([[side * CUT, side * CUT * _STEP, side * CUT, 0.0] for side in (1, -1)])
 
 
-def judge(values: np.ndarray, hours: np.ndarray) -> pd.DataFrame:
-    """score, deviation, run_length and reason of each reading of a series in order of time; NaN is a reading here, nulls have been left out."""
+def featured(values: np.ndarray, hours: np.ndarray) -> pd.DataFrame:
+    """Features, deviation, run length and reason so far of each reading of a series in order of time; NaN is a reading here, nulls have been left out. ``ordinary`` tells what a forest can be grown on."""
+    n = len(values)
     finite = np.isfinite(values) & (values > 0)
     runs = run_lengths(values)
     stuck = runs >= STUCK
     z, _, _ = deviations(values, finite & ~stuck, CUT)
-    scored = np.flatnonzero(finite)
-    score = np.full(len(values), np.nan)
     level = np.where(np.isnan(z), 0.0, z)
-    score[scored] = isolation_scores(_features(level[scored], hours[scored], runs[scored]), TREES, SAMPLE)
-    spike = (score > SCORE) & (np.abs(level) > CUT)
-    reason = np.where(~finite, "not_positive", np.where(stuck, "stuck", np.where(spike, "spike", None)))
-    return pd.DataFrame({"score": score, "deviation": z, "run_length": runs.astype("int64"), "reason": reason})
+    ordinary = finite & ~stuck & (np.abs(level) <= CUT)
+    last = np.maximum.accumulate(np.where(ordinary, np.arange(n), -1)) if n else np.zeros(0, dtype=int)
+    before = np.r_[-1, last[:-1]][:n]
+    step = (level - np.where(before >= 0, level[before], 0.0)) * _STEP if n else level
+    slot = np.nan_to_num(hours).astype(int) // HOURS
+    season = level.copy()
+    for i in np.unique(slot):
+        own = ordinary & (slot == i)
+        if own.any():
+            season[slot == i] -= np.median(level[own])
+    reason = np.where(~finite, "not_positive", np.where(stuck, "stuck", None))
+    return pd.DataFrame({"__level": level, "__step": step, "__season": season, "__run": (runs - 1) * _RUN, "ordinary": ordinary, "deviation": z, "run_length": runs.astype("int64"), "reason": reason})
+
+
+def decided(features: np.ndarray, source: np.ndarray, train: np.ndarray, train_source: np.ndarray, n_sources: int) -> tuple[np.ndarray, np.ndarray]:
+    """Score and threshold of each row of features by the forest of its source, grown on the rows of train. A source without two of them has no threshold (NaN)."""
+    score, limit = np.zeros(len(features)), np.zeros(n_sources)
+    for begin in range(0, n_sources, TOGETHER):
+        k = min(TOGETHER, n_sources - begin)
+        own, fit = (source >= begin) & (source < begin + k), (train_source >= begin) & (train_source < begin + k)
+        forests = grow(train[fit], train_source[fit] - begin, k, WEIGHTS, PAD, TREES)
+        score[own] = forests.scores(features[own], source[own] - begin)
+        limit[begin : begin + k] = np.min([forests.scores(np.tile(p, (k, 1)), np.arange(k)) for p in PROBES], axis=0)
+        limit[begin : begin + k][forests.sizes < 2] = np.nan
+    return score, limit[source]
+
+
+def _groups(batches: Iterator[pd.DataFrame], by: Sequence[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows in whole groups and the number of each row's group; rows come sorted by group. What is held is a batch and the group that it ends in."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        if _starts(pd.concat([held[0].iloc[:1], batch], ignore_index=True), by)[1:].any():
+            rows = pd.concat(held, ignore_index=True)
+            starts = _starts(rows, by)
+            cut = int(np.flatnonzero(starts)[-1])
+            yield rows.iloc[:cut], np.cumsum(starts[:cut]) - 1
+            held = [rows.iloc[cut:]]
+    if held:
+        rows = pd.concat(held, ignore_index=True)
+        yield rows, np.cumsum(_starts(rows, by)) - 1
+
+
+def _starts(rows: pd.DataFrame, by: Sequence[str]) -> np.ndarray:
+    new = np.zeros(len(rows), dtype=bool)
+    for c in by:
+        now, before = rows[c], rows[c].shift()
+        new |= ((now != before) & ~(now.isna() & before.isna())).to_numpy(dtype=bool)
+    new[:1] = True
+    return new
+
+
+def _featured_rows(rows: pd.DataFrame, number: np.ndarray) -> pd.DataFrame:
+    parts = []
+    hours = pd.to_datetime(rows["__at"]).dt.hour.to_numpy(dtype=float)
+    values = rows["__value"].to_numpy(dtype=float)
+    edges = np.r_[np.flatnonzero(np.r_[True, number[1:] != number[:-1]]), len(number)]
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        parts.append(featured(values[lo:hi], hours[lo:hi]))
+    found = pd.concat(parts, ignore_index=True)
+    return pd.concat([rows.reset_index(drop=True), found], axis=1)
 
 
 def _once(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -70,7 +126,7 @@ def _once(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def judged(readings: DataFrame, fields: Sequence[str], series: Sequence[str] = ("runner", "metric"), item: str = "measurement_id", at: str = "measured_at", cases_only: bool = False) -> DataFrame:
-    """One row per non-null reading: item, field_name, score, deviation, run_length, reason (null if ordinary).
+    """One row per non-null reading: item, field_name, score, threshold, deviation, run_length, reason (null if ordinary).
 
     readings: series columns, item, at, ``arrived_at`` and the numeric fields; other columns are ignored. A series is one
     field of one combination of the series columns, nulls being values, in order of at (null first), then item.
@@ -80,31 +136,66 @@ def judged(readings: DataFrame, fields: Sequence[str], series: Sequence[str] = (
     """
     series, fields = list(series), list(fields)
     types = {f.name: f.dataType for f in readings.schema.fields}
-    out = T.StructType([T.StructField(item, types[item]), T.StructField("field_name", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("deviation", T.DoubleType()), T.StructField("run_length", T.LongType()), T.StructField("reason", T.StringType())])
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("__arrived", kind="stable", na_position="last")
-        group = group.sort_values(["__at", "__id"], kind="stable", na_position="first")
-        parts = []
-        for i, name in enumerate(fields):
-            own = group[group["__field"] == i]
-            found = judge(own["__value"].to_numpy(dtype=float), pd.to_datetime(own["__at"]).dt.hour.to_numpy(dtype=float))
-            found.insert(0, "field_name", name)
-            found.insert(0, item, own["__id"].to_numpy())
-            keep = own["__core"].to_numpy(dtype=bool)
-            if cases_only:
-                keep = keep & found["reason"].notna().to_numpy()
-            parts.append(found[keep])
-        return pd.concat(parts, ignore_index=True)
+    out = T.StructType([T.StructField(item, types[item]), T.StructField("field_name", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("threshold", T.DoubleType()), T.StructField("deviation", T.DoubleType()), T.StructField("run_length", T.LongType()), T.StructField("reason", T.StringType())])
+    names = np.array(fields, dtype=object)
+
+    def result(rows: pd.DataFrame, score: np.ndarray, limit: np.ndarray) -> pd.DataFrame:
+        spike = rows["reason"].isna().to_numpy() & (score > limit)
+        reason = rows["reason"].mask(spike, "spike")
+        score = np.where(reason.eq("not_positive"), np.nan, score)
+        found = pd.DataFrame({item: rows["__id"], "field_name": names[rows["__field"].to_numpy()], "score": score, "threshold": limit, "deviation": rows["deviation"], "run_length": rows["run_length"], "reason": reason})
+        return found[reason.notna()] if cases_only else found
+
+    def judge_short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, number in _groups(batches, [*keys, "__field"]):
+            found = _featured_rows(rows, number)
+            order = np.lexsort((found["__hash"].to_numpy(), number))
+            order = order[found["ordinary"].to_numpy()[order]]
+            rank = pd.Series(number[order]).groupby(number[order]).cumcount().to_numpy()
+            fit = order[rank < SAMPLE]
+            matrix = found[FEATURES].to_numpy()
+            yield result(found, *decided(matrix, number, matrix[fit], number[fit], int(number[-1]) + 1))
+
+    def feature_long(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, number in _groups(batches, [*keys, "__field", "__chunk"]):
+            found = _featured_rows(rows, number)
+            yield found[found["__core"]][kept_columns]
+
+    def judge_long(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, number in _groups(batches, [*keys, "__field", "__chunk"]):
+            train = rows["__train"].to_numpy(dtype=bool)
+            matrix, own = rows[FEATURES].to_numpy(dtype=float), rows[~train]
+            yield result(own, *decided(matrix[~train], number[~train], matrix[train], number[train], int(number[-1]) + 1))
 
     keys = [f"__s{i}" for i in range(len(series))]
     values = [f"__f{i}" for i in range(len(fields))]
     slim = readings.select(*[F.col(c).alias(k) for c, k in zip(series, keys, strict=True)], F.col(item).alias("__id"), F.col(at).alias("__at"), F.col("arrived_at").alias("__arrived"), *[F.col(f).cast("double").alias(v) for f, v in zip(fields, values, strict=True)])
     each = F.array(*[F.struct(F.lit(i).alias("__field"), F.col(v).alias("__value")) for i, v in enumerate(values)])
     long = _once(slim, keys).select(*keys, "__id", "__at", "__arrived", F.inline(each)).where(F.col("__value").isNotNull())
-    # chunks of one number of all fields go to one task; each field is cut by itself
-    cut = chunked(long, [*keys, "__field"], "__at", "__id", CHUNK, MARGIN)
-    return cut.drop("__long").groupBy(*keys, "__chunk").applyInPandas(one, out)
+    long = long.withColumn("__hash", F.xxhash64("__id", "__at", "__value"))
+    scratch = Scratch(readings.sparkSession, "spikes")
+    few, windows = chunked(scratch.keep(long, "readings"), [*keys, "__field"], "__at", "__id", CHUNK, MARGIN)
+    by, order = [*keys, "__field", "__chunk"], ["__at", "__id", "__arrived", "__value"]
+    short = few.drop("__core", "__n").repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(judge_short, out)
+
+    if windows is None:
+        return short
+    kept_columns = [*by, "__id", "__hash", "__n", *FEATURES, "ordinary", "deviation", "run_length", "reason"]
+    kept = T.StructType([windows.schema[c] for c in [*by, "__id", "__hash", "__n"]] + [T.StructField(c, T.DoubleType()) for c in FEATURES] + [T.StructField("ordinary", T.BooleanType()), T.StructField("deviation", T.DoubleType()), T.StructField("run_length", T.LongType()), T.StructField("reason", T.StringType())])
+    whole = windows.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(feature_long, kept)
+    whole = scratch.keep(whole, "features")
+    # about eight times the sample, so that few rows of a series, however long it is, are ranked
+    share = (F.col("__hash") / F.lit(2.0**63) + 1) / 2 < F.lit(8.0 * SAMPLE) / F.col("__n")
+    least = Window.partitionBy(*keys, "__field").orderBy("__hash", "__chunk", *FEATURES)
+    sample = whole.where(F.col("ordinary") & share).withColumn("__r", F.row_number().over(least)).where(F.col("__r") <= SAMPLE)
+    sample = sample.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate([*keys, "__field"])], *FEATURES)
+    chunks = whole.select(*by).distinct()
+    same = F.lit(True)
+    for i, c in enumerate([*keys, "__field"]):
+        same = same & chunks[c].eqNullSafe(sample[f"__k{i}"])
+    train = chunks.join(sample, same).select(*by, *FEATURES, F.lit(True).alias("__train"))
+    both = whole.drop("__hash", "__n", "ordinary").withColumn("__train", F.lit(False)).unionByName(train, allowMissingColumns=True)
+    return short.unionByName(both.repartition(*by).sortWithinPartitions(*by).mapInPandas(judge_long, out))
 
 
 def cases(readings: DataFrame, fields: Iterable[str], **how: object) -> DataFrame:

@@ -113,8 +113,8 @@ def p6_paths(spark: SparkSession, root: str) -> DataFrame:
 
 
 def tasks_of(spark: SparkSession) -> int:
-    """Tasks to spread over: as many as the session shuffles into, 4,096 at most, so that a plan stays small."""
-    return max(1, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    """Tasks to spread over: as many as the session shuffles into."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

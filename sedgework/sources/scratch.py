@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset, a folder of our own, which is set there."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset, a folder of our own, which is set there, if all runs on this machine; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="sedgework-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -88,6 +88,30 @@ def test_fields_found_together_stay_apart(spark):
     assert {"a", "b"} <= set(drift.unified(spark.createDataFrame(data, FILE)).columns)
 
 
+def test_long_numbers_deep_values_and_case(spark, rows):
+    """Neither digits nor depth lose a file, and names that differ in case only are two columns."""
+    long, deep = "7" * 6000, "[" * 30000 + "]" * 30000
+    whole = f'{{"a": 3, "n": {long}, "meta": {{"x": {deep}}}, "s": "t"}}'
+    assert layouts.parse_object(whole) == {"a": 3, "n": int(long), "meta": layouts.Deep("object", f'{{"x": {deep}}}'), "s": "t"}
+    assert run(spark, rows, files({"a": 1, "s": "u"}, whole)) == [(2, "meta", "added"), (2, "n", "added")]
+    for bad in (f'{{"a": {deep}', whole + "x", f'{{"a": {deep},}}', f'{{"a" {deep}}}', f"[{deep}]", f'{{"a": {deep[:-1]}}}}}', f'{{1: {deep}}}'):
+        assert layouts.parse_object(bad) is None
+
+
+def test_case_and_digits_in_the_table(spark, rows):
+    data = files('{"a": 1, "A": 2, "n": 1' + "0" * 5000 + "}", {"a": 3, "A": None, "n": 5})
+    found = drift.unified(spark.createDataFrame(data, FILE))
+    assert set(found.columns) == {"file_id", "suite", "committed_at", "A", "a_2", "n"}
+    assert rows(found, "a_2", "A") == [(1, 2), (3, None)] and {len(r[0]) for r in found.select("n").collect()} == {5001, 1}
+
+
+def test_more_fields_than_columns(spark, rows, monkeypatch):
+    monkeypatch.setattr(drift, "COLUMNS", 2)
+    found = drift.unified(spark.createDataFrame(files({"a": 1, "b": 2, "x1": "u"}, {"a": 1, "b": 3, "x2": [1]}, {"a": 4, "b": 5}), FILE))
+    assert set(found.columns) == {"file_id", "suite", "committed_at", "a", "b", "other_fields"}
+    assert rows(found, "a", "b", "other_fields") == sorted([(1, 2, '{"x1": "u"}'), (1, 3, '{"x2": "[1]"}'), (4, 5, None)], key=str)
+
+
 def test_name_similarity():
     assert layouts.name_similarity("schema_version", "schemaVersion") == 1
     assert layouts.name_similarity("run_count", "runs") > layouts.name_similarity("run_count", "aggregation")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sedgework.functions.series import deviations, isolation_scores, run_lengths
+from sedgework.functions.series import deviations, grow, run_lengths
 from sedgework.operators import spikes
 
 SCHEMA = "measurement_id bigint, runner string, metric string, measured_at timestamp_ntz, arrived_at timestamp_ntz, x double, y double, reason string"
@@ -117,11 +117,44 @@ def test_run_lengths():
 def test_short_input(n):
     z, _, _ = deviations(np.ones(n), np.ones(n, dtype=bool))
     assert len(z) == n
-    assert len(isolation_scores(np.zeros((n, 2)))) == n
+    assert len(spikes.featured(np.ones(n), np.zeros(n))) == n
+
+
+def scores(x, source=None):
+    source = np.zeros(len(x), dtype=int) if source is None else source
+    return grow(x, source, int(source.max(initial=0)) + 1, [1] * x.shape[1], 4.0, 32).scores(x, source)
 
 
 def test_forest_scores_outliers_above_average():
     x = np.random.default_rng(0).normal(0, 1, (400, 2))
     x[5] = [8, 8]
-    scores = isolation_scores(x)
-    assert scores.argmax() == 5 and scores[5] > 0.6 > np.median(scores)
+    found = scores(x)
+    assert found.argmax() == 5 and found[5] > 0.6 > np.median(found)
+    assert list(scores(np.zeros((1, 2)))) == [0.5]
+
+
+def test_a_forest_doesnt_depend_on_the_others():
+    x = np.random.default_rng(0).normal(0, 1, (256, 2))
+    both = scores(np.concatenate([x, 9 * x]), np.repeat([0, 1], 256))
+    assert np.allclose(both[:256], scores(x))
+
+
+def test_the_score_decides(spark):
+    """Every spike is above its source's threshold and no other reading is; without the forest's scores no spike comes out."""
+    values = normal(200)
+    values[50], values[90] = 1.4, 0.55
+    found = {r["measurement_id"]: r for r in spikes.judged(frame(spark, values), ["x"]).collect()}
+    assert {i for i, r in found.items() if r["score"] > r["threshold"]} == {50, 90} == {i for i, r in found.items() if r["reason"]}
+
+
+@pytest.mark.parametrize("together", [1, 3])
+def test_windows_at_production_parameters(spark, rows, together):
+    """Three windows of the real size and a backfill under one time: as many cases as were put in."""
+    values = normal(9000)
+    at = [100, 4090, 4095, 4096, 4100, 8192, 8800]
+    for i in at:
+        values[i] = 1.6
+    df = frame(spark, values)
+    if together > 1:
+        df = df.withColumn("measured_at", F.when(F.col("measurement_id").between(3000, 6000), F.lit(T0 + timedelta(hours=15000)).cast("timestamp_ntz")).otherwise(F.col("measured_at")))
+    assert found(df, rows) == sorted([(i,) for i in at], key=str)
