@@ -2,9 +2,9 @@
 
 Parent and child keys are put into one long form, tagged, and grouped by (table, key): that
 one aggregation, whose partial sums leave one row per key and map task, tells the keys that no
-parent answers and those whose parents cover every child. Only rows of the keys in between need
-times compared; they are swept in order of time against their parents' lifetimes, a heavy key in
-as many shards as its load asks for.
+parent answers and those whose parents cover every child. References to keys without parent are cases as they are. Only
+those of the keys in between need times compared; they are swept in order of time against their parents' lifetimes, a
+hot key hour by hour, each hour beginning with what was alive before it.
 """
 
 from __future__ import annotations
@@ -12,12 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedgework.operators import skew
 from sedgework.sources.scratch import Scratch
 
-#: A key of more children than this is swept in shards of about this many.
-ROWS_PER_SHARD = 200_000
-
 
 def references(edges: DataFrame) -> DataFrame:
     """The non-null endpoints of edges in long form: seq, graph, key, side, at (arrival of the delivery)."""
@@ -35,11 +31,11 @@ def lifetimes(nodes: DataFrame) -> DataFrame:
     return named.groupBy("graph", "key", "died").agg(F.min("born").alias("born"))
 
 
-def key_states(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row per referenced (graph, key) that some reference may miss: ``missing`` (no parent at all) or ``check``.
+def key_states(edges: DataFrame, nodes: DataFrame, hot_from: int) -> DataFrame:
+    """One row per referenced (graph, key) that some reference may miss, ``state`` being ``missing`` (no parent at all) or ``check``, with ``first_born`` and ``hot``.
 
-    Also ``first_born`` and ``shards``. Keys whose earliest parent arrived before all children and was
-    never deleted are good for every reference and are left out.
+    hot: the key has more than hot_from references. Other keys whose earliest parent arrived before all children and was
+    never deleted are good for every reference and are left out; hot ones of them have a null state.
     """
     none = F.lit(None)
     child = references(edges).select("graph", "key", F.lit(1).alias("c"), F.col("at").alias("c_at"), none.cast("timestamp_ntz").alias("p_at"), F.lit(0).alias("p"), F.lit(0).alias("d"))
@@ -49,11 +45,11 @@ def key_states(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         F.sum(F.when((F.col("c") == 1) & F.col("c_at").isNull(), 1).otherwise(0)).alias("undated"),
     )
     state = F.when(F.col("p") == 0, "missing").when((F.col("d") == 1) | F.col("first_born").isNull() | (F.col("first_born") > F.col("first_ref")) | (F.col("undated") > 0), "check")
-    kept = keys.where(F.col("children") > 0).select("graph", "key", state.alias("state"), "first_born", "children", F.ceil(F.col("children") / ROWS_PER_SHARD).cast("int").alias("shards"))
-    return kept.where(F.col("state").isNotNull())
+    kept = keys.where(F.col("children") > 0).select("graph", "key", state.alias("state"), "first_born", (F.col("children") > hot_from).alias("hot"))
+    return kept.where(F.col("state").isNotNull() | F.col("hot"))
 
 
-def orphans(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def orphans(edges: DataFrame, nodes: DataFrame, tasks: int | None = None) -> DataFrame:
     """Every reference of edges that has no living node when the edge first arrives.
 
     edges: seq, graph, source, target, arrived_at. nodes: graph, id, arrived_at, deleted_at. Other
@@ -65,36 +61,48 @@ def orphans(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     count once, at the first; edges without seq are told apart by their key and side only. An edge without
     arrival time is judged as arriving before everything, a null graph is a graph of its own, a
     node without arrival time never arrives. Empty tables are allowed: without nodes all are missing.
+    tasks: those that the work is spread over, by default as many as the session shuffles into; a key with more than a task's part is hot.
     """
-    states = Scratch(edges.sparkSession, "orphans").keep(key_states(edges, nodes), "states")
+    spark = edges.sparkSession
+    scratch = Scratch(spark, "orphans")
+    tasks = tasks or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    hot_from = 2 * edges.count() // tasks
+    states = scratch.keep(key_states(edges, nodes, hot_from), "states")
+    # of 2n references fewer than ``tasks`` keys can have more than 2n / tasks
+    hot = states.where("hot").select(F.col("graph").alias("hg"), F.col("key").alias("hk"), F.col("state").alias("h_state"), F.col("first_born").alias("h_born"), F.lit(True).alias("is_hot"))
     refs = references(edges)
-    heavy = _heavy(states.where(F.col("shards") > 1))
-    plan = skew.LoadPlan(["graph", "key"], 1, 0, heavy=heavy, bins=[0])
-    flagged = skew.with_shards(refs, plan, F.xxhash64("seq")).drop("__task")
-    spots = skew.replicated(states.drop("children", "shards"), plan).drop("__task")
-    null_safe = flagged["key"].eqNullSafe(spots["key"]) & flagged["graph"].eqNullSafe(spots["graph"]) & (flagged["__shard"] == spots["__shard"])
-    hit = flagged.join(spots, null_safe).select(flagged["graph"], flagged["key"], flagged["__shard"], "seq", "side", "at", "state", "first_born")
-    once = hit.groupBy("graph", "key", "__shard", "state", "first_born", "seq", "side").agg(F.min("at").alias("at"))  # state and first_born are the key's
-
-    lives = lifetimes(nodes)
-    checked = states.where(F.col("state") == "check").select("graph", "key")
-    lives = lives.join(checked, lives["graph"].eqNullSafe(checked["graph"]) & lives["key"].eqNullSafe(checked["key"]), "left_semi")
-    lives = lives.where(F.col("died").isNull() | (F.col("died") > F.col("born")))
+    marked = refs.join(F.broadcast(hot), refs["graph"].eqNullSafe(hot["hg"]) & (refs["key"] == hot["hk"]), "left")
+    of_hot = marked.where(F.col("is_hot") & F.col("h_state").isNotNull()).select("graph", "key", "seq", "side", "at", F.col("h_state").alias("state"), F.col("h_born").alias("first_born"))
+    others = marked.where(F.col("is_hot").isNull()).select("graph", "key", "seq", "side", "at")
+    cold = states.where("not hot").select(F.col("graph").alias("sg"), F.col("key").alias("sk"), "state", "first_born")
+    of_cold = others.join(cold, others["graph"].eqNullSafe(cold["sg"]) & (others["key"] == cold["sk"])).select(*of_hot.columns)
+    once = [r.groupBy("graph", "key", "seq", "side", "state", "first_born").agg(F.min("at").alias("at")).withColumn("hot", F.lit(h)) for r, h in ((of_cold, False), (of_hot, True))]  # state and first_born are the key's
+    once = scratch.keep(once[0].unionByName(once[1]), "once")
+
+    missing = once.where("state = 'missing'").select(F.col("seq").alias("edge_seq"), "side", F.col("state").alias("reason"), F.col("at").alias("arrived_at"))
+    late = F.coalesce(F.col("first_born") > F.col("at"), F.lit(True))
+    swept = _swept(once.where("state = 'check'"), lifetimes(nodes), states.where("state = 'check'").select("graph", "key", "hot"))
+    return missing.unionByName(swept.select(F.col("seq").alias("edge_seq"), "side", F.when(late, "late").otherwise("deleted").alias("reason"), F.col("at").alias("arrived_at")))
+
+
+def _swept(refs: DataFrame, lives: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of refs at whose time nothing of lives is alive. Each key is swept in order of time, a hot one in slices of an hour."""
+    named = keys.select(F.col("graph").alias("kg"), F.col("key").alias("kk"), "hot")
+    own = lives.where(F.col("died").isNull() | (F.col("died") > F.col("born"))).join(named, F.col("graph").eqNullSafe(F.col("kg")) & (F.col("key") == F.col("kk")))
     turns = F.array(F.struct(F.col("born").alias("at"), F.lit(1).alias("step")), F.struct(F.col("died").alias("at"), F.lit(-1).alias("step")))
-    turns = skew.replicated(lives.select("graph", "key", F.explode(turns).alias("t")), plan).drop("__task").where(F.col("t.at").isNotNull())
-    none = F.lit(None)
-    events = once.select("graph", "key", "__shard", "at", F.lit(0).alias("step"), F.lit(1).alias("child"), "seq", "side", "state", "first_born").unionByName(
-        turns.select("graph", "key", "__shard", F.col("t.at").alias("at"), F.col("t.step").alias("step"), F.lit(0).alias("child"), none.cast(dict(edges.dtypes)["seq"]).alias("seq"), none.cast("string").alias("side"), none.cast("string").alias("state"), none.cast("timestamp_ntz").alias("first_born"))
-    )
-    so_far = Window.partitionBy("graph", "key", "__shard").orderBy(F.col("at").asc_nulls_first(), "child").rowsBetween(Window.unboundedPreceding, 0)
-    swept = events.withColumn("alive", F.sum("step").over(so_far)).where((F.col("child") == 1) & (F.col("alive") <= 0))
-    reason = F.when(F.col("state") == "missing", "missing").when(F.coalesce(F.col("first_born") > F.col("at"), F.lit(True)), "late").otherwise("deleted")
-    return swept.select(F.col("seq").alias("edge_seq"), "side", reason.alias("reason"), F.col("at").alias("arrived_at"))
-
-
-def _heavy(states: DataFrame) -> dict[tuple, list[int]]:
-    """Keys of more than ROWS_PER_SHARD children: of n references there can be n / ROWS_PER_SHARD, five in a million."""
-    return {(r["graph"], r["key"]): [0] * r["shards"] for r in states.select("graph", "key", "shards").collect()}
+    hour = F.when(F.col("hot"), F.date_trunc("hour", F.col("at").cast("timestamp")).cast("timestamp_ntz"))
+    turns = own.select("graph", "key", "hot", F.inline(turns)).where(F.col("at").isNotNull()).withColumn("slice", hour)
+    refs = refs.withColumn("slice", hour)
+
+    hours = turns.where("hot").select("graph", "key", "slice", "step").unionByName(refs.where("hot and slice is not null").select("graph", "key", "slice", F.lit(0).alias("step")))
+    before = Window.partitionBy("graph", "key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    begun = hours.groupBy("graph", "key", "slice").agg(F.sum("step").alias("step")).withColumn("step", F.coalesce(F.sum("step").over(before), F.lit(0)))
+
+    turn = lambda rows, at, place: rows.select("graph", "key", "slice", at.alias("at"), F.lit(place).alias("place"), F.col("step").cast("bigint").alias("step"))
+    events = refs.select("graph", "key", "slice", "at", F.lit(2).alias("place"), F.lit(0).cast("bigint").alias("step"), "seq", "side", "first_born")
+    events = events.unionByName(turn(turns, F.col("at"), 1), allowMissingColumns=True).unionByName(turn(begun, F.col("slice"), 0), allowMissingColumns=True)
+    so_far = Window.partitionBy("graph", "key", "slice").orderBy(F.col("at").asc_nulls_first(), "place").rowsBetween(Window.unboundedPreceding, 0)
+    return events.withColumn("alive", F.sum("step").over(so_far)).where((F.col("place") == 2) & (F.col("alive") <= 0))
 
 
 def orphan_counts(found: DataFrame, table_name: str = "graph_edge") -> DataFrame:

@@ -1,13 +1,14 @@
 """A few keys hold most records: results per key with the work spread evenly.
 
-Fragment and replicate by load. Loads are counted with map-side partial sums, so no task sees
-more than one row per key and map task. A plan then bin-packs the load into tasks: a key that
-outweighs its fair part of a task is cut into proportionate shards, all lighter keys stay whole
-in hash bins, and bins and shards go, heaviest first, to the task that has least. Only keys that
-were cut have their matching rows replicated, once per shard.
-
-What the driver holds is bounded by the plan and not by the data: of n rows at most 2 * tasks
-keys can have more than n / (2 * tasks) rows, and there are ``BINS_PER_TASK * tasks`` bins.
+Fragment and replicate by estimated load. One pass without a shuffle estimates the loads: a sketch of the most frequent
+keys. A plan then bin-packs the load into tasks: a key that outweighs half a fair part of a task is cut into
+proportionate shards, all lighter keys stay whole in hash bins, and shards and bins go, heaviest first, to the task
+that has least. Only keys that were cut have their matching rows replicated, once per shard. Estimates decide where rows go
+and nothing else; results are counted.
+
+Keys are known to a plan by a 64-bit hash; two keys of one hash share their shards, which changes no result. What the driver holds,
+and what is broadcast, is bounded by the plan and not by the data: of n rows fewer than 2 * tasks keys can have more than n / (2 * tasks)
+rows, they have at most 4 * tasks shards, and there are ``BINS_PER_TASK * tasks`` bins.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ import heapq
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedgework.sources.scratch import Scratch
-
 BINS_PER_TASK = 8
+#: Counters of the sketch: so many for each task, within these bounds. An estimate is off by at most 4/3 of rows / counters.
+COUNTERS_PER_TASK, COUNTERS = 16, (10_000, 1_000_000)
+#: Items in one row of a posting list.
+LIST = 100_000
 
 
 def key_loads(df: DataFrame, keys: Sequence[str], count: str = "n_rows") -> DataFrame:
@@ -51,26 +54,27 @@ def heavy_keys(loads: DataFrame, scope: Sequence[str], share: float, count: str
 
 @dataclass
 class LoadPlan:
-    """Where each key's rows go. heavy: key -> the tasks of its shards; bins: the task of each hash bin."""
+    """Where each key's rows go. heavy: hash of a key -> the tasks of its shards; bins: the task of each hash bin; load: what each task is expected to get."""
 
     keys: list[str]
     tasks: int
     total: int
-    heavy: dict[tuple, list[int]] = field(default_factory=dict)
+    heavy: dict[int, list[int]] = field(default_factory=dict)
     bins: list[int] = field(default_factory=list)
     load: list[int] = field(default_factory=list)
-    named: list[tuple] = field(default_factory=list)
 
-    def named_frame(self, spark: SparkSession, like: DataFrame) -> DataFrame:
-        """The keys that hold more than the plan's share of their scope, one row each: keys and ``n_rows``."""
-        types = dict(like.select(*self.keys).dtypes)
-        return spark.createDataFrame(self.named, ", ".join([*(f"`{k}` {types[k]}" for k in self.keys), "n_rows bigint"]))
+    def cut_frame(self, spark: SparkSession) -> DataFrame:
+        """The cut keys, fewer than 2 * tasks rows: ``__key`` (their hash), ``__shards`` and ``__slot``, the number of the first shard's slot."""
+        rows, slot = [], len(self.bins)
+        for key, at in self.heavy.items():
+            rows.append((key, len(at), slot))
+            slot += len(at)
+        return spark.createDataFrame(rows, "__key bigint, __shards int, __slot int")
 
-    def heavy_frame(self, spark: SparkSession, like: DataFrame) -> DataFrame:
-        """The cut keys, at most 2 * tasks rows: keys, ``__shards`` and ``__at``, the task of each shard."""
-        types = dict(like.select(*self.keys).dtypes)
-        schema = ", ".join([*(f"`{k}` {types[k]}" for k in self.keys), "__shards int", "__at array<int>"])
-        return spark.createDataFrame([(*k, len(at), at) for k, at in self.heavy.items()], schema)
+    def slot_frame(self, spark: SparkSession) -> DataFrame:
+        """``__slot`` and ``__task`` of bins and shards, at most (BINS_PER_TASK + 4) * tasks rows."""
+        tasks = [*self.bins, *[t for at in self.heavy.values() for t in at]]
+        return spark.createDataFrame(list(enumerate(tasks)), "__slot int, __task int")
 
 
 def pack(loads: Sequence[tuple[object, int]], tasks: int) -> tuple[dict[object, int], list[int]]:
@@ -84,91 +88,65 @@ def pack(loads: Sequence[tuple[object, int]], tasks: int) -> tuple[dict[object,
     return where, [load for load, _ in sorted(heap, key=lambda x: x[1])]
 
 
-def _bin(keys: Sequence[str], bins: int) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(bins)).cast("int")
-
-
-def plan_loads(loads: DataFrame, keys: Sequence[str], tasks: int, count: str = "n_rows", scope: Sequence[str] = (), share: float | None = None) -> LoadPlan:
-    """A plan for rows whose loads are given, one row per key; loads is read two or three times, so give a kept table.
-
-    Small results reach the driver: the load of each of ``BINS_PER_TASK * tasks`` hash bins, the keys
-    of more than half a task's fair part, of which there are at most 2 * tasks, and, if a share is
-    given, the keys that hold more than it of the rows of their scope, at most 1 / share of each.
-    """
-    keys = list(keys)
+def plan_of(total: int, frequent: Sequence[tuple[int, int]], keys: Sequence[str], tasks: int) -> LoadPlan:
+    """A plan from the number of rows and the estimated loads (hash, rows) of the most frequent keys. The rest of the rows is taken to lie evenly in the bins."""
     n_bins = BINS_PER_TASK * tasks
-    per_bin = {r[0]: r[1] for r in loads.groupBy(_bin(keys, n_bins).alias("bin")).agg(F.sum(count)).collect()}
-    total = sum(per_bin.values())
-    fair = max(1.0, total / tasks)
-    rows = loads.where(F.col(count) > fair / 2).select(*keys, count, _bin(keys, n_bins).alias("__bin")).collect() if total else []
+    fair = max(1, total // tasks)
     items: list[tuple[object, int]] = []
-    for r in rows:
-        key, n = tuple(r[: len(keys)]), r[len(keys)]
-        per_bin[r["__bin"]] -= n
-        shards = max(1, -(-2 * n // int(max(1, fair))))
-        items += [((key, s), -(-n // shards)) for s in range(shards)]
-    items += [(("bin", b), per_bin.get(b, 0)) for b in range(n_bins)]
-    where, load = pack(items, tasks)
-    plan = LoadPlan(keys, tasks, total, load=load, bins=[where["bin", b] for b in range(n_bins)])
-    for r in rows:
-        key = tuple(r[: len(keys)])
-        plan.heavy[key] = [where[key, s] for s in range(sum(1 for x, _ in items if x[0] == key))]
-    if share is not None and total:
-        plan.named = [tuple(r) for r in heavy_keys(loads, scope, share, count).select(*keys, count).collect()]
-    return plan
-
-
-def kept_loads(df: DataFrame, keys: Sequence[str], scratch: Scratch, count: str = "n_rows") -> DataFrame:
-    """key_loads, written once: one row per key, what a plan reads."""
-    return scratch.keep(key_loads(df, keys, count), "loads")
-
-
-def placed(df: DataFrame, plan: LoadPlan, spread_by: Column) -> DataFrame:
-    """df with every row in the task that the plan gives it; columns ``__shard`` and ``__task`` added."""
-    return with_shards(df, plan, spread_by).repartitionById(plan.tasks, F.col("__task"))
+    shards: dict[int, int] = {}
+    for key, n in frequent:
+        n = min(n, total)
+        if 2 * n > fair and len(shards) < 2 * tasks:
+            shards[key] = min(tasks, -(-2 * n // fair))
+            items += [((key, s), -(-n // shards[key])) for s in range(shards[key])]
+    rest = max(0, total - sum(n for _, n in items)) // n_bins
+    where, load = pack([*items, *[(("bin", b), rest) for b in range(n_bins)]], tasks)
+    return LoadPlan(list(keys), tasks, total, {k: [where[k, s] for s in range(n)] for k, n in shards.items()}, [where["bin", b] for b in range(n_bins)], load)
 
 
-def _task_of_bin(plan: LoadPlan) -> Column:
-    return F.element_at(F.array(*[F.lit(t) for t in plan.bins]), _bin(plan.keys, len(plan.bins)) + 1)
+def plan_loads(df: DataFrame, keys: Sequence[str], tasks: int) -> LoadPlan:
+    """A plan for the rows of df. One pass; one row with fewer than 2 * tasks numbers reaches the driver. Nulls are keys like any others."""
+    counters = min(max(COUNTERS[0], COUNTERS_PER_TASK * tasks), COUNTERS[1])
+    most = min(2 * tasks, counters)
+    found = df.select(F.xxhash64(*keys).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {most}, {counters})").alias("top")).first()
+    return plan_of(found["n"], [(r["item"], r["count"]) for r in found["top"] or []], keys, tasks)
 
 
 def with_shards(df: DataFrame, plan: LoadPlan, spread_by: Column) -> DataFrame:
-    """Add ``__shard`` (0 for keys that weren't cut) and ``__task``. spread_by: a hash that tells a heavy key's rows apart."""
-    if not plan.heavy:
-        return df.withColumns({"__shard": F.lit(0), "__task": _task_of_bin(plan)})
-    heavy = _renamed(plan, df)
-    cut = df.join(F.broadcast(heavy), _same(df, heavy, plan), "left")
-    shard = F.coalesce(F.pmod(spread_by, F.col("__shards")).cast("int"), F.lit(0))
-    return (
-        cut.withColumn("__shard", shard)
-        .withColumn("__task", F.coalesce(F.element_at("__at", F.col("__shard") + 1), _task_of_bin(plan)))
-        .drop("__shards", "__at", *[f"__h{i}" for i in range(len(plan.keys))])
-    )
+    """Add ``__shard`` (0 for keys that weren't cut), ``__cut`` and ``__task``. spread_by: a hash that tells a heavy key's rows apart."""
+    spark, key = df.sparkSession, F.xxhash64(*plan.keys)
+    marked = df.withColumn("__key", key).join(F.broadcast(plan.cut_frame(spark)), "__key", "left")
+    marked = marked.withColumns({"__cut": F.col("__shards").isNotNull(), "__shard": F.coalesce(F.pmod(spread_by, F.col("__shards")).cast("int"), F.lit(0))})
+    return _to_task(marked, plan)
 
 
 def replicated(df: DataFrame, plan: LoadPlan) -> DataFrame:
     """The matching side: rows of cut keys once per shard, all others once, with ``__shard`` and ``__task``."""
-    if not plan.heavy:
-        return df.withColumns({"__shard": F.lit(0), "__task": _task_of_bin(plan)})
-    heavy = _renamed(plan, df)
-    return (
-        df.join(F.broadcast(heavy), _same(df, heavy, plan), "left")
-        .withColumn("__shard", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__shards"), F.lit(1)) - 1)))
-        .withColumn("__task", F.coalesce(F.element_at("__at", F.col("__shard") + 1), _task_of_bin(plan)))
-        .drop("__shards", "__at", *[f"__h{i}" for i in range(len(plan.keys))])
-    )
+    marked = df.withColumn("__key", F.xxhash64(*plan.keys)).join(F.broadcast(plan.cut_frame(df.sparkSession)), "__key", "left")
+    copies = F.sequence(F.lit(0), F.coalesce(F.col("__shards"), F.lit(1)) - 1)
+    return _to_task(marked.withColumn("__shard", F.explode(copies)), plan)
 
 
-def _renamed(plan: LoadPlan, df: DataFrame) -> DataFrame:
-    heavy = plan.heavy_frame(df.sparkSession, df)
-    return heavy.select(*[F.col(f"`{k}`").alias(f"__h{i}") for i, k in enumerate(plan.keys)], "__shards", "__at")
+def _to_task(marked: DataFrame, plan: LoadPlan) -> DataFrame:
+    slot = F.coalesce(F.col("__slot") + F.col("__shard"), F.pmod(F.col("__key"), F.lit(len(plan.bins))).cast("int"))
+    return marked.withColumn("__slot", slot).join(F.broadcast(plan.slot_frame(marked.sparkSession)), "__slot").drop("__slot", "__key", "__shards")
 
 
-def _same(df: DataFrame, heavy: DataFrame, plan: LoadPlan) -> Column:
-    on = df[plan.keys[0]].eqNullSafe(heavy["__h0"])
-    for i, k in enumerate(plan.keys[1:], 1):
-        on = on & df[k].eqNullSafe(heavy[f"__h{i}"])
-    return on
+def placed(df: DataFrame, plan: LoadPlan, spread_by: Column) -> DataFrame:
+    """df with every row in the task that the plan gives it; columns ``__shard``, ``__cut`` and ``__task`` added."""
+    return with_shards(df, plan, spread_by).repartitionById(plan.tasks, F.col("__task"))
+
+
+def shard_counts(df: DataFrame, plan: LoadPlan, count: str = "n_rows") -> DataFrame:
+    """Rows of each key and shard: keys, ``__shard``, ``__cut`` and count. The rows that a map task has of a heavy key are summed there and are one shard's."""
+    own = F.xxhash64(F.spark_partition_id())
+    return with_shards(df, plan, own).groupBy(*plan.keys, "__shard", "__cut").agg(F.count(F.lit(1)).alias(count)).select(*plan.keys, "__shard", "__cut", count)
+
+
+def from_shards(counts: DataFrame, plan: LoadPlan, count: str = "n_rows") -> DataFrame:
+    """Rows of each key out of those of its shards. Only keys that were cut are summed; counts is read twice, so give a kept table."""
+    cut = counts.where("__cut").groupBy(*plan.keys).agg(F.sum(count).alias(count))
+    return counts.where("not __cut").select(*plan.keys, count).unionByName(cut)
 
 
 def spread_join(left: DataFrame, right: DataFrame, plan: LoadPlan, spread_by: Column, how: str = "inner") -> DataFrame:
@@ -180,16 +158,23 @@ def spread_join(left: DataFrame, right: DataFrame, plan: LoadPlan, spread_by: Co
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"spread_join can't do a {how} join")
     own = replicated(right, plan).repartitionById(plan.tasks, F.col("__task"))
-    joined = placed(left, plan, spread_by).join(own, ["__task", *plan.keys, "__shard"], how)
+    joined = placed(left, plan, spread_by).drop("__cut").join(own, ["__task", *plan.keys, "__shard"], how)
     return joined.drop("__shard", "__task")
 
 
-def partial_lists(df: DataFrame, plan: LoadPlan, item: str, spread_by: Column, name: str = "items") -> DataFrame:
-    """Postings: for each key the sorted distinct items, in one row per (key, shard) so that no row or task holds a whole heavy key.
+def distinct_items(df: DataFrame, keys: Sequence[str], item: str) -> DataFrame:
+    """Each item of each key once, by partial aggregates; rows with a null item or any null key are left out."""
+    return df.where(F.col(item).isNotNull()).dropna(subset=list(keys)).select(*keys, item).distinct()
+
+
+def partial_lists(items: DataFrame, plan: LoadPlan, item: str, spread_by: Column, name: str = "items") -> DataFrame:
+    """Postings: for each key its items, sorted, in rows of at most ``LIST`` of them, so that neither a row nor a task holds a whole heavy key.
 
-    spread_by must depend on item alone, so that repeats of an item meet in one shard.
-    Rows with a null item or any null key give no posting. Columns: keys, ``shard``, ``n_items``, name.
+    items: as of distinct_items. A key's rows are numbered by ``shard`` and ``part``; parts of a shard follow each other in order of item.
+    Columns: keys, ``shard``, ``part``, ``n_items``, name.
     """
-    rows = placed(df.where(F.col(item).isNotNull()).dropna(subset=plan.keys), plan, spread_by)
-    lists = rows.groupBy("__task", *plan.keys, "__shard").agg(F.sort_array(F.collect_set(item)).alias(name))
-    return lists.select(*plan.keys, F.col("__shard").alias("shard"), F.size(name).cast("bigint").alias("n_items"), name)
+    by = ["__task", *plan.keys, "__shard"]
+    rows = placed(items, plan, spread_by)
+    ranked = rows.withColumn("part", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(item)) - 1) / LIST).cast("int"))
+    lists = ranked.groupBy(*by, "part").agg(F.sort_array(F.collect_list(item)).alias(name))
+    return lists.select(*plan.keys, F.col("__shard").alias("shard"), "part", F.size(name).cast("bigint").alias("n_items"), name)

@@ -57,29 +57,29 @@ def _all_keys(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
-    """The keys that a load plan over all keys names as heavy."""
+    """The keys with more than HEAVY_SHARE of the rows of their pool, counted shard by shard as a load plan over all keys cuts them."""
     keys = ["pool", "field_name", "scope", "key_value"]
-    loads = skew.kept_loads(_all_keys(spark, root), keys, Scratch(spark, "p4"))
-    plan = skew.plan_loads(loads, keys, tasks_of(spark), scope=["field_name", "pool"], share=HEAVY_SHARE)
-    return plan.named_frame(spark, loads).where(F.col("key_value").isNotNull()).select("field_name", "scope", "key_value")
+    rows = _all_keys(spark, root)
+    plan = skew.plan_loads(rows, keys, tasks_of(spark))
+    counts = Scratch(spark, "p4").keep(skew.shard_counts(rows, plan), "counts")
+    heavy = skew.heavy_keys(skew.from_shards(counts, plan), ["field_name", "pool"], HEAVY_SHARE)
+    return heavy.where(F.col("key_value").isNotNull()).select("field_name", "scope", "key_value")
 
 
 def p4_neighbours(spark: SparkSession, root: str) -> DataFrame:
     """For each source the targets it points to, how often, and the first row_id of the source's node; a heavy source's rows lie in shards."""
     edges = table(spark, root, "graph_edge").where(F.col("source").isNotNull() & F.col("target").isNotNull())
     nodes = table(spark, root, "graph_node").groupBy("graph", F.col("id").alias("source")).agg(F.min("row_id").alias("source_row"))
-    pairs = edges.groupBy("graph", "source", "target").agg(F.count(F.lit(1)).alias("n_edges"))
-    loads = skew.kept_loads(edges, ["graph", "source"], Scratch(spark, "p4"))
-    plan = skew.plan_loads(loads, ["graph", "source"], tasks_of(spark))
+    pairs = Scratch(spark, "p4").keep(edges.groupBy("graph", "source", "target").agg(F.count(F.lit(1)).alias("n_edges")), "pairs")
+    plan = skew.plan_loads(pairs, ["graph", "source"], tasks_of(spark))
     return skew.spread_join(pairs, nodes, plan, F.xxhash64("target"), "left").select("graph", "source", "target", "n_edges", "source_row")
 
 
 def p4_postings(spark: SparkSession, root: str) -> DataFrame:
-    """The postings of every index: for each key the number of documents and the first and last of their ids, lists being kept by shard."""
-    keys = _index_keys(spark, root)
-    loads = skew.kept_loads(keys, ["name", "key"], Scratch(spark, "p4"))
-    plan = skew.plan_loads(loads, ["name", "key"], tasks_of(spark))
-    lists = skew.partial_lists(keys, plan, "doc_id", F.xxhash64("doc_id"))
+    """The postings of every index: for each key the number of documents and the first and last of their ids, lists being kept by shard and part."""
+    items = Scratch(spark, "p4").keep(skew.distinct_items(_index_keys(spark, root), ["name", "key"], "doc_id"), "items")
+    plan = skew.plan_loads(items, ["name", "key"], tasks_of(spark))
+    lists = skew.partial_lists(items, plan, "doc_id", F.xxhash64("doc_id"))
     return lists.groupBy("name", "key").agg(
         F.sum("n_items").alias("n_documents"), F.min(F.element_at("items", 1)).alias("first_id"), F.max(F.element_at("items", -1)).alias("last_id")
     )

@@ -34,8 +34,8 @@ def brute(edges, nodes):
     return sorted(out, key=str)
 
 
-def run(spark, rows, edges, nodes):
-    return rows(orphans.orphans(spark.createDataFrame(edges, EDGE), spark.createDataFrame(nodes, NODE)), "edge_seq", "side", "reason")
+def run(spark, rows, edges, nodes, tasks=None):
+    return rows(orphans.orphans(spark.createDataFrame(edges, EDGE), spark.createDataFrame(nodes, NODE), tasks), "edge_seq", "side", "reason")
 
 
 def test_cases(spark, rows):
@@ -59,10 +59,9 @@ def test_nulls(spark, rows):
     assert run(spark, rows, edges, nodes) == brute(edges, nodes)
 
 
-@pytest.mark.parametrize("per_shard", [200_000, 20])
-def test_against_brute_force(spark, rows, monkeypatch, per_shard):
-    """Also with a hot key cut into shards."""
-    monkeypatch.setattr(orphans, "ROWS_PER_SHARD", per_shard)
+@pytest.mark.parametrize("tasks", [2, 12, 600])
+def test_against_brute_force(spark, rows, tasks):
+    """Also with hot keys cut into slices."""
     r = random.Random(7)
     ids = [f"n{i}" for i in range(12)]
     nodes = [(r.choice("gh"), r.choice(ids), at(b := r.randrange(30)), at(r.choice([None, b - 1, b + r.randrange(12)])), "s") for _ in range(40)]
@@ -72,7 +71,9 @@ def test_against_brute_force(spark, rows, monkeypatch, per_shard):
         edges.append(e)
         if r.random() < 0.2:
             edges.append((*e[:4], e[4] + timedelta(hours=r.randrange(9)), "t"))
-    assert run(spark, rows, edges, nodes) == brute(edges, nodes)
+    nodes += [("g", "n0", at(3), at(4), "s"), ("g", "n0", at(8), at(9), "s")]
+    edges += [(1000, "g", "n0", "n0", None, "s"), (1001, "g", "n0", "gone", at(3) + timedelta(minutes=30), "s")]
+    assert run(spark, rows, edges, nodes, tasks) == brute(edges, nodes)
 
 
 def test_counts(spark, rows):

@@ -1,12 +1,12 @@
 from __future__ import annotations
 
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from sedgework.operators import skew
-from sedgework.sources.scratch import Scratch
 
 
 @pytest.fixture(scope="module")
@@ -23,12 +23,10 @@ def test_pack_is_even():
 
 
 def test_plan_spreads_heavy_keys(spark, hot):
-    loads = skew.kept_loads(hot, ["graph", "key"], Scratch(spark, "t"))
-    plan = skew.plan_loads(loads, ["graph", "key"], 4, share=0.03)
+    plan = skew.plan_loads(hot, ["graph", "key"], 4)
     assert plan.total == 1000
-    assert ("a", "hot") in plan.heavy and len(plan.heavy["a", "hot"]) > 1
+    assert len(plan.heavy) == 2 and max(map(len, plan.heavy.values())) == 4
     assert max(plan.load) <= 1.4 * plan.total / plan.tasks
-    assert {k[:2] for k in plan.named} == {("a", "hot"), ("a", "warm")}
     placed = skew.placed(hot, plan, F.xxhash64("item"))
     per_task = Counter(r[0] for r in placed.select(F.spark_partition_id()).collect())
     assert sum(per_task.values()) == 1000
@@ -36,6 +34,21 @@ def test_plan_spreads_heavy_keys(spark, hot):
     assert all(r[0] == r[1] for r in placed.select(F.spark_partition_id(), "__task").distinct().collect())
 
 
+def test_counts_come_from_shards(spark, hot, rows):
+    plan = skew.plan_loads(hot, ["graph", "key"], 4)
+    counts = skew.shard_counts(hot.repartition(8), plan)
+    assert counts.where("key = 'hot'").count() > 1 and counts.where("key = 'k1'").count() == 1
+    assert rows(skew.from_shards(counts, plan)) == rows(skew.key_loads(hot, ["graph", "key"]))
+
+
+def test_planning_is_linear():
+    tasks = 4096
+    begin = time.perf_counter()
+    plan = skew.plan_of(10**9, [(k, 3 * 10**9 // tasks // 2) for k in range(tasks)], ["k"], tasks)
+    assert time.perf_counter() - begin < 2
+    assert sum(map(len, plan.heavy.values())) <= 4 * tasks and max(plan.load) < 2 * 10**9 / tasks
+
+
 def test_heavy_keys_by_scope(spark, hot, rows):
     loads = skew.key_loads(hot, ["graph", "key"])
     assert rows(skew.heavy_keys(loads, ["graph"], 0.5), "key", "n_rows") == [("hot", 500)]
@@ -46,7 +59,7 @@ def test_heavy_keys_by_scope(spark, hot, rows):
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_spread_join_equals_plain_join(spark, hot, rows, how):
     right = spark.createDataFrame([("a", "hot", 1), ("a", "warm", 2), ("b", "k1", 3), ("b", "none", 4), ("a", None, 5)], "graph string, key string, size int")
-    plan = skew.plan_loads(skew.key_loads(hot, ["graph", "key"]), ["graph", "key"], 4)
+    plan = skew.plan_loads(hot, ["graph", "key"], 4)
     assert plan.heavy
     got = skew.spread_join(hot, right, plan, F.xxhash64("item"), how).select("graph", "key", "item", "size")
     want = hot.join(right, ["graph", "key"], how).select("graph", "key", "item", "size")
@@ -54,23 +67,26 @@ def test_spread_join_equals_plain_join(spark, hot, rows, how):
 
 
 def test_spread_join_rejects_full(spark, hot):
-    plan = skew.plan_loads(skew.key_loads(hot, ["graph", "key"]), ["graph", "key"], 2)
+    plan = skew.plan_loads(hot, ["graph", "key"], 2)
     with pytest.raises(ValueError):
         skew.spread_join(hot, hot, plan, F.lit(0), "full")
 
 
-def test_partial_lists(spark, hot):
-    plan = skew.plan_loads(skew.key_loads(hot, ["graph", "key"]), ["graph", "key"], 4)
-    lists = skew.partial_lists(hot, plan, "item", F.xxhash64("item")).collect()
+def test_partial_lists(spark, hot, monkeypatch):
+    monkeypatch.setattr(skew, "LIST", 15)
+    items = skew.distinct_items(hot, ["graph", "key"], "item")
+    plan = skew.plan_loads(items, ["graph", "key"], 4)
+    lists = skew.partial_lists(items, plan, "item", F.xxhash64("item")).collect()
     found: dict = {}
     for r in lists:
-        assert r["items"] == sorted(set(r["items"])) and r["n_items"] == len(r["items"])
+        assert r["items"] == sorted(set(r["items"])) and r["n_items"] == len(r["items"]) <= 15
         assert not found.setdefault(r["key"], set()) & set(r["items"])
         found[r["key"]] |= set(r["items"])
     assert found["hot"] == set(range(40)) and found["warm"] == set(range(200)) and None not in found
 
 
 def test_empty_input(spark, hot, rows):
-    plan = skew.plan_loads(skew.key_loads(hot.limit(0), ["graph", "key"]), ["graph", "key"], 4, share=0.1)
-    assert plan.total == 0 and not plan.heavy and not plan.named
+    plan = skew.plan_loads(hot.limit(0), ["graph", "key"], 4)
+    assert plan.total == 0 and not plan.heavy
     assert rows(skew.placed(hot.limit(0), plan, F.xxhash64("item"))) == []
+    assert rows(skew.from_shards(skew.shard_counts(hot.limit(0), plan), plan)) == []
