@@ -52,15 +52,18 @@ UNION ALL SELECT g.file_id, g.field, 'removed' FROM gone g WHERE NOT EXISTS (SEL
 
 RUNS = "SELECT run_id, max(read_to) AS hi FROM run_log WHERE status = 'succeeded' AND read_to IS NOT NULL GROUP BY run_id UNION ALL SELECT max(run_id) + 1, TIMESTAMP '9999-01-01' FROM run_log"
 
+CHANGED = f"""
+WITH runs AS (SELECT run_id, hi, lag(hi) OVER (ORDER BY run_id) AS lo FROM ({RUNS}))
+SELECT run_id, collection, id AS doc_key FROM runs r JOIN stored_document d ON d.arrived_at <= r.hi
+GROUP BY run_id, collection, id HAVING max(revision) > coalesce(max(revision) FILTER (WHERE d.arrived_at <= r.lo), -1)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"SELECT edge_seq, side, reason FROM ({ORPHANS})",
         "p1_counts": f"SELECT 'graph_edge' AS table_name, strftime(a, '%Y-%m') AS period, side, reason, count(*) AS n_references FROM ({ORPHANS}) GROUP BY 2, 3, 4",
-        "p2_found": f"""
-WITH runs AS (SELECT run_id, hi, lag(hi) OVER (ORDER BY run_id) AS lo FROM ({RUNS}))
-SELECT run_id, collection, id AS doc_key FROM runs r JOIN stored_document d ON d.arrived_at <= r.hi
-GROUP BY run_id, collection, id HAVING max(revision) > coalesce(max(revision) FILTER (WHERE d.arrived_at <= r.lo), -1)""",
+        "p2_found": CHANGED,
+        "p2_capture": CHANGED,
         "p3_found": DRIFT,
         "p4_found": f"""
 WITH total AS (SELECT count(*) AS n FROM graph_edge), keys AS ({INDEX_KEYS})

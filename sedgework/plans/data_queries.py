@@ -31,6 +31,11 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return changes.changed_per_run(table(spark, root, "stored_document"), table(spark, root, "run_log"))
 
 
+def p2_capture(spark: SparkSession, root: str) -> DataFrame:
+    """The same rows from the running job, batch after batch, with every failed run broken off at some step."""
+    return changes.capture_runs(table(spark, root, "stored_document"), table(spark, root, "run_log"), f"{Scratch(spark, 'p2').root}/capture")
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return drift.changes(table(spark, root, "bench_file")).select("file_id", "field_name", "change_kind")
 
@@ -118,4 +123,4 @@ def tasks_of(spark: SparkSession) -> int:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p3_found": p3_found, "p3_table": p3_table, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_postings": p4_postings, "p5_found": p5_found, "p5_scores": p5_scores, "p6_found": p6_found, "p6_paths": p6_paths}
+    return {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_capture": p2_capture, "p3_found": p3_found, "p3_table": p3_table, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_postings": p4_postings, "p5_found": p5_found, "p5_scores": p5_scores, "p6_found": p6_found, "p6_paths": p6_paths}

@@ -12,11 +12,14 @@ def capture(job: ChangeCapture, deliveries: DataFrame, log_path: str, checkpoint
     """Append deliveries to a log and run one batch of the job after each micro-batch.
 
     The log is the job's input: files of a micro-batch are written to a folder of its number and overwritten if it
-    comes again; the job's own plan says up to which offsets it reads, so a repeated micro-batch adds nothing.
+    comes again. That number is the offset that the job's plans are made of (its ``at`` must be ``batch``), so each run reads the folders that are new,
+    whatever times their deliveries have, and a repeated micro-batch adds nothing.
     """
+    if job.at != "batch":
+        raise ValueError("a job over a stream has the number of the micro-batch as its offset: at='batch'")
 
     def step(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{log_path}/batch={number}")
-        job.run(batch.sparkSession.read.schema(batch.schema).parquet(log_path).select(*batch.columns))
+        job.run(batch.sparkSession.read.schema(batch.schema.add("batch", "bigint")).parquet(log_path))
 
     return deliveries.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

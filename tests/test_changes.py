@@ -3,6 +3,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from sedgework.operators import changes
 
@@ -53,6 +54,39 @@ def test_changed_per_run(spark, rows, runs):
     assert rows(found, "run_id", "collection", "doc_key") == brute(DOCS, runs)
 
 
+def test_capture_goes_through_the_run_log(spark, rows, tmp_path):
+    """The running job, broken off whenever a run failed, and the replay of the whole log give the same."""
+    docs = [d for d in DOCS if d[2] is not None]
+    runs = [(1, "succeeded", at(2)), (2, "failed", at(4)), (3, "lost", at(5)), (4, "succeeded", at(7)), (5, "failed", at(8)), (6, "aborted", None), (7, "failed", at(40)), (8, "succeeded", at(10))]
+    df, log = spark.createDataFrame(docs, DOC), spark.createDataFrame(runs, RUN)
+    found = changes.capture_runs(df, log, str(tmp_path / "job"))
+    assert rows(found) == rows(changes.changed_per_run(df, log)) == brute(docs, runs)
+
+
+def test_offsets(spark):
+    for kind in ("timestamp", "timestamp_ntz"):
+        df = spark.sql(f"SELECT {kind}'2024-10-27 02:30:00.123456' AS t UNION ALL SELECT {kind}'1969-12-31 23:59:59.999999'")
+        found = [r[0] for r in df.select(changes.offset_of("t", kind).alias("o")).orderBy("o").collect()]
+        assert found == [-1, 1729996200123456]
+        assert df.where(F.col("t") == changes.offset_literal(found[1], kind)).count() == 1
+
+
+def test_plan_rows():
+    bounds = [at(5), at(10)]
+    m = lambda n: changes.micros(at(n))
+    assert changes.plan_rows(bounds, [("a", m(1), m(7)), (None, m(10), m(12))]) == [(0, "a", m(1) - 1, m(5)), (1, "a", m(5), m(7)), (1, None, m(10) - 1, m(10)), (2, None, m(10), m(12))]
+
+
+def test_a_batch_rewrites_only_its_buckets(spark, tmp_path):
+    job = changes.ChangeCapture(spark, str(tmp_path / "job"), ["id"], "revision", "collection", buckets=8)
+    log = spark.createDataFrame([("std", f"d{i}", 1, None, at(1), "") for i in range(60)] + [("std", "d7", 2, None, at(2), ""), ("std", "nodate", 1, None, None, "")], DOC)
+    assert job.run(log.where("arrived_at <= timestamp_ntz'2024-01-01 01:00:00'")) == 1
+    assert job.run(log) == 2
+    assert len(job._names("state/1")) > 8 > len([x for x in job._names("state/2") if x.startswith("bucket=")]) <= 2
+    assert sorted(r["id"] for r in job.result().where("batch = 2").collect()) == ["d7", "nodate"]
+    assert job.run(log) == 3 and job.result().where("batch = 3").count() == 0
+
+
 def test_empty_documents(spark, rows):
     assert rows(changes.changed_per_run(spark.createDataFrame([], DOC), spark.createDataFrame([(1, "succeeded", at(2))], RUN))) == []
 
@@ -68,7 +102,7 @@ def test_capture_survives_failures(spark, tmp_path, rows, fail_at):
     # more has arrived when the batch is replayed; its plan has the offsets of the first attempt
     again = changes.ChangeCapture(spark, str(tmp_path / "job"), ["collection", "id"], "revision", "collection")
     assert again.run(log) == 1
-    assert rows(again.result(), "collection", "id", "revision", "batch") == [("std", "a", 2, 1), ("std", "b", 3, 1), (None, None, 1, 1)]
+    assert rows(again.result(), "collection", "id", "revision", "batch") == [("std", "a", 2, 1), ("std", "b", 3, 1), ("std", "d", 1, 1), (None, None, 1, 1)]
     assert again.run(log) == 2
     assert again.run(log) == 3
     assert rows(again.result().where("batch > 1"), "collection", "id", "revision", "batch") == [("meta", "a", 1, 2)]

@@ -32,7 +32,7 @@ def test_capture_from_stream(spark, tmp_path):
     schema = "collection string, id string, revision int, arrived_at timestamp"
     feed, at = str(tmp_path / "feed"), "2024-01-0{} 00:00:00"
     rows = lambda *xs: spark.createDataFrame([(c, i, r, at.format(d)) for c, i, r, d in xs], "collection string, id string, revision int, a string").selectExpr("collection", "id", "revision", "CAST(a AS timestamp) AS arrived_at")
-    job = ChangeCapture(spark, str(tmp_path / "job"), ["collection", "id"], "revision", "collection")
+    job = ChangeCapture(spark, str(tmp_path / "job"), ["collection", "id"], "revision", "collection", at="batch")
     for batch in (rows(("s", "a", 1, 1), ("s", "b", 1, 1)), rows(("s", "a", 1, 2), ("s", "b", 3, 2)), rows(("s", "b", 2, 3))):
         batch.write.mode("append").parquet(feed)
         stream_changes.capture(job, spark.readStream.schema(schema).parquet(feed), str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination()
