@@ -11,6 +11,8 @@ import numpy as np
 LEAST_STRETCH, LEVEL_T = 6, 5.5
 #: Readings on each side in the first, rough comparison.
 SIDE = 12
+#: Trees are as deep as those of so many rows at least, whatever other sources a forest is grown with.
+SAMPLE_DEPTH = 128
 
 
 def run_lengths(values: np.ndarray) -> np.ndarray:
@@ -123,64 +125,57 @@ def average_path(n: np.ndarray | float) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Forests:
-    """Isolation forests of several sources, grown together. Arrays are by (source, tree, node), nodes of a tree being numbered as in a heap from 1."""
+    """Isolation forests of several sources, grown together. splits: for each level an array by (tree, source, node); depths: how deep a row is cut off, by the nodes of the last level."""
 
     feature: np.ndarray
-    split: np.ndarray
-    count: np.ndarray
+    splits: list[np.ndarray]
+    depths: np.ndarray
     sizes: np.ndarray
-    trees: int
-    depth: int
 
     def scores(self, features: np.ndarray, source: np.ndarray) -> np.ndarray:
         """Scores in (0, 1] of rows of features, each by the forest of its source; the greater, the sooner a row is cut off. 0.5 where a source has no forest."""
-        n = len(features)
-        base = (source[:, None] * self.trees + np.arange(self.trees)) << (self.depth + 1)
-        node = np.ones((n, self.trees), dtype=np.int64)
-        walked = np.zeros((n, self.trees))
-        flat, at = features.ravel(), np.arange(n)[:, None] * features.shape[1]
-        for _ in range(self.depth):
-            key = base + node
-            inner = self.count[key] > 1
-            right = flat[at + self.feature[key]] >= self.split[key]
-            node = np.where(inner, 2 * node + right, node)
-            walked += inner
-        walked += average_path(self.count[base + node])
+        columns = np.ascontiguousarray(features.T)
+        at = _roots(source, len(self.sizes), len(self.feature))
+        for level, split in enumerate(self.splits):
+            at = 2 * at + (columns[self.feature[:, level]] >= split[at])
         usual = np.maximum(average_path(self.sizes), 1e-9)[source]
-        return np.where(self.sizes[source] > 1, 2.0 ** (-walked.mean(axis=1) / usual), 0.5)
+        return np.where(self.sizes[source] > 1, 2.0 ** (-self.depths[at].mean(axis=0) / usual), 0.5)
+
+
+def _roots(source: np.ndarray, n_sources: int, trees: int) -> np.ndarray:
+    return (np.arange(trees, dtype=np.int32)[:, None] * n_sources + source.astype(np.int32)).astype(np.int32)
 
 
 def grow(features: np.ndarray, source: np.ndarray, n_sources: int, weights: Sequence[float], pad: float, trees: int, seed: int = 0) -> Forests:
     """One isolation forest per source on the rows of features (a bounded sample; source: the number of each row's).
 
-    Each tree grows to depth log2 of the largest source's rows, one more for the room around them: at a node a feature is
-    drawn by weights and a split from the range that the node's rows have in it, widened by pad on both sides. The room lets scores tell how far outside
-    a reading lies, which the range alone can't.
+    Each tree grows to depth log2 of the largest source's rows, one more for the room around them: at each level of a tree a feature is
+    drawn by weights, and at each node a split from the range that the node's rows have in it, widened by pad on both sides. The room lets scores tell
+    how far outside a reading lies, which the range alone can't.
     """
-    n, width = features.shape
     sizes = np.bincount(source, minlength=n_sources)
-    depth = int(np.ceil(np.log2(max(2, sizes.max(initial=2))))) + 1
-    slots = n_sources * trees << (depth + 1)
+    depth = int(np.ceil(np.log2(max(2, SAMPLE_DEPTH, sizes.max(initial=2))))) + 1
     rng = np.random.default_rng(seed)
-    one = rng.choice(width, size=trees << (depth + 1), p=np.asarray(weights) / np.sum(weights))
-    feature = np.tile(one, n_sources)  # a source's forest doesn't depend on those it is grown with
-    chance = np.tile(rng.random(trees << (depth + 1)), n_sources)
-    split, count = np.zeros(slots), np.zeros(slots, dtype=np.int64)
-    base = ((source[:, None] * trees + np.arange(trees)) << (depth + 1)).ravel()
-    node = np.ones(n * trees, dtype=np.int64)
-    flat, at = features.ravel(), np.repeat(np.arange(n) * width, trees)
-    live = np.arange(n * trees)
-    for level in range(depth + 1):
-        key = base[live] + node[live]
-        count += np.bincount(key, minlength=slots)
-        if level == depth:
-            break
-        live = live[count[key] > 1]
-        key = base[live] + node[live]
-        value = flat[at[live] + feature[key]]
+    feature = rng.choice(features.shape[1], size=(trees, depth), p=np.asarray(weights) / np.sum(weights))
+    columns = np.ascontiguousarray(features.T)
+    at = _roots(source, n_sources, trees)
+    cut_off = np.full(trees * n_sources, np.nan)
+    splits = []
+    for level in range(depth):
+        slots = trees * n_sources << level
+        count = np.bincount(at.ravel(), minlength=slots)
+        cut_off = np.where(np.isnan(cut_off) & (count <= 1), level, cut_off)
+        values = columns[feature[:, level]]
         lo, hi = np.full(slots, np.inf), np.full(slots, -np.inf)
-        np.minimum.at(lo, key, value)
-        np.maximum.at(hi, key, value)
-        split[key] = lo[key] - pad + chance[key] * (hi[key] - lo[key] + 2 * pad)
-        node[live] = 2 * node[live] + (value >= split[key])
-    return Forests(feature, split, count, sizes, trees, depth)
+        np.minimum.at(lo, at.ravel(), values.ravel())
+        np.maximum.at(hi, at.ravel(), values.ravel())
+        chance = rng.random((trees, 1, 1 << level))  # a source's forest doesn't depend on those it is grown with
+        chance = np.broadcast_to(chance, (trees, n_sources, 1 << level)).ravel()
+        with np.errstate(invalid="ignore"):
+            split = np.where(count > 1, lo - pad + chance * (hi - lo + 2 * pad), np.inf)
+        splits.append(split)
+        at = 2 * at + (values >= split[at])
+        cut_off = np.repeat(cut_off, 2)
+    count = np.bincount(at.ravel(), minlength=trees * n_sources << depth)
+    further = average_path(np.arange(count.max(initial=0) + 1))[count]
+    return Forests(feature, splits, np.where(np.isnan(cut_off), depth + further, cut_off), sizes)

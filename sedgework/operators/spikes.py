@@ -30,7 +30,7 @@ CHUNK, MARGIN = 4096, 256
 #: Between the four deviations within which ordinary readings stay and the six from which a reading is a case.
 CUT = 5.0
 STUCK = 5
-TREES, SAMPLE = 32, 128
+TREES, SAMPLE = 24, 128
 #: The room around a node's range, and how often each feature is drawn.
 PAD, WEIGHTS = 4.0, (3, 1, 1, 1)
 HOURS = 6
@@ -44,26 +44,30 @@ _STEP, _RUN = 1 / np.sqrt(2), CUT / (STUCK - 1)
 PROBES = np.array([[side * CUT, side * CUT * _STEP, side * CUT, 0.0] for side in (1, -1)])
 
 
-def featured(values: np.ndarray, hours: np.ndarray) -> pd.DataFrame:
-    """Features, deviation, run length and reason so far of each reading of a series in order of time; NaN is a reading here, nulls have been left out. ``ordinary`` tells what a forest can be grown on."""
+def featured(values: np.ndarray, hours: np.ndarray, number: np.ndarray) -> dict[str, np.ndarray]:
+    """Features, deviation, run length and reason so far of each reading of several series, one after another, each in order of time. number: of a reading's series, ascending.
+
+    NaN is a reading here, nulls have been left out. ``ordinary`` tells what a forest can be grown on.
+    """
     n = len(values)
+    place = np.arange(n)
+    starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]][:n])
     finite = np.isfinite(values) & (values > 0)
-    runs = run_lengths(values)
+    runs, z = np.zeros(n, dtype=np.int64), np.full(n, np.nan)
+    for lo, hi in zip(starts, np.r_[starts[1:], n][: len(starts)], strict=True):
+        runs[lo:hi] = run_lengths(values[lo:hi])
+        z[lo:hi] = deviations(values[lo:hi], finite[lo:hi] & (runs[lo:hi] < STUCK), CUT)[0]
     stuck = runs >= STUCK
-    z, _, _ = deviations(values, finite & ~stuck, CUT)
     level = np.where(np.isnan(z), 0.0, z)
     ordinary = finite & ~stuck & (np.abs(level) <= CUT)
-    last = np.maximum.accumulate(np.where(ordinary, np.arange(n), -1)) if n else np.zeros(0, dtype=int)
+    last = np.maximum.accumulate(np.where(ordinary, place, -1)) if n else place
     before = np.r_[-1, last[:-1]][:n]
-    step = (level - np.where(before >= 0, level[before], 0.0)) * _STEP if n else level
-    slot = np.nan_to_num(hours).astype(int) // HOURS
-    season = level.copy()
-    for i in np.unique(slot):
-        own = ordinary & (slot == i)
-        if own.any():
-            season[slot == i] -= np.median(level[own])
-    reason = np.where(~finite, "not_positive", np.where(stuck, "stuck", None))
-    return pd.DataFrame({"__level": level, "__step": step, "__season": season, "__run": (runs - 1) * _RUN, "ordinary": ordinary, "deviation": z, "run_length": runs.astype("int64"), "reason": reason})
+    begin = np.repeat(starts, np.diff(np.r_[starts, n]))
+    step = (level - np.where(before >= begin, level[before], 0.0)) * _STEP if n else level
+    slot = number * (24 // HOURS + 1) + np.nan_to_num(hours).astype(int) // HOURS
+    usual = pd.Series(level[ordinary]).groupby(slot[ordinary]).median()
+    season = level - usual.reindex(slot).fillna(0.0).to_numpy()
+    return {"__level": level, "__step": step, "__season": season, "__run": (runs - 1) * _RUN, "ordinary": ordinary, "deviation": z, "run_length": runs, "reason": np.where(~finite, "not_positive", np.where(stuck, "stuck", None))}
 
 
 def decided(features: np.ndarray, source: np.ndarray, train: np.ndarray, train_source: np.ndarray, n_sources: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,14 +111,8 @@ def _starts(rows: pd.DataFrame, by: Sequence[str]) -> np.ndarray:
 
 
 def _featured_rows(rows: pd.DataFrame, number: np.ndarray) -> pd.DataFrame:
-    parts = []
     hours = pd.to_datetime(rows["__at"]).dt.hour.to_numpy(dtype=float)
-    values = rows["__value"].to_numpy(dtype=float)
-    edges = np.r_[np.flatnonzero(np.r_[True, number[1:] != number[:-1]]), len(number)]
-    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        parts.append(featured(values[lo:hi], hours[lo:hi]))
-    found = pd.concat(parts, ignore_index=True)
-    return pd.concat([rows.reset_index(drop=True), found], axis=1)
+    return rows.assign(**featured(rows["__value"].to_numpy(dtype=float), hours, number))
 
 
 def _once(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
