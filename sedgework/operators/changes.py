@@ -243,7 +243,7 @@ class ChangeCapture:
         kinds = dict(log.dtypes)
         columns = ", ".join(f"`{k}` {kinds[k]}" for k in self.key)
         bucket = F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int").alias("bucket")
-        read = self._covered(log, plan).where(F.col(self.offset).isNotNull()).groupBy(*self.key).agg(F.max(self.offset).alias(self.offset)).select("*", bucket)
+        read = self._covered(log, plan).where(F.col(self.offset).isNotNull()).groupBy(*self.key).agg(F.max(self.offset).alias(self.offset)).select("*", bucket).repartition("bucket")
         read.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/batch/{n}")
         touched = [x.split("=")[1] for x in self._names(f"batch/{n}") if x.startswith("bucket=")]
         batch = self.spark.read.schema(f"{columns}, `{self.offset}` {kinds[self.offset]}, bucket int").parquet(f"{self.root}/batch/{n}").drop("bucket")
@@ -254,7 +254,7 @@ class ChangeCapture:
         self._stop(fail_at, "sink")
         fresh = self.spark.read.schema(f"{columns}, `{self.offset}` {kinds[self.offset]}").parquet(f"{self.root}/sink/batch={n}").withColumnRenamed(self.offset, "last_offset")
         merged = fresh if state is None else state.unionByName(fresh).groupBy(*self.key).agg(F.max("last_offset").alias("last_offset"))
-        merged.select("*", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/state/{n}")
+        merged.select("*", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/state/{n}")
         self._stop(fail_at, "state")
         written = [x.split("=")[1] for x in self._names(f"state/{n}") if x.startswith("bucket=")]
         self._write(f"commits/{n}.json", {"buckets": versions | {b: n for b in written}})
@@ -284,7 +284,7 @@ class BrokenOff(RuntimeError):
         super().__init__(f"broken off after {step}")
 
 
-def capture_runs(documents: DataFrame, runs: DataFrame, root: str) -> DataFrame:
+def capture_runs(documents: DataFrame, runs: DataFrame, root: str, buckets: int = 16) -> DataFrame:
     """changed_per_run by a ChangeCapture job that goes through the run log: every run reads what had arrived by its read_to, and runs that didn't succeed are broken off.
 
     They break off after plan, sink and state by turns. A run that succeeds first replays the plan that a broken one left, then reads on to its own
@@ -294,7 +294,7 @@ def capture_runs(documents: DataFrame, runs: DataFrame, root: str) -> DataFrame:
     spark = documents.sparkSession
     log = documents.withColumnRenamed("id", "doc_key")
     kind = dict(log.dtypes)["arrived_at"]
-    job = ChangeCapture(spark, root, ["collection", "doc_key"], "revision", "collection")
+    job = ChangeCapture(spark, root, ["collection", "doc_key"], "revision", "collection", buckets=buckets)
     kept = {b.run_id: b.until for b in batches_of(runs)}
     failed = {r[0]: r[1] for r in runs.where(F.col("read_to").isNotNull() & F.col("run_id").isNotNull()).groupBy("run_id").agg(F.max("read_to")).collect() if r[0] not in kept}
     committed, steps = [], 0

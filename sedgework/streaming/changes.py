@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from sedgework.operators.changes import ChangeCapture
@@ -20,6 +21,6 @@ def capture(job: ChangeCapture, deliveries: DataFrame, log_path: str, checkpoint
 
     def step(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{log_path}/batch={number}")
-        job.run(batch.sparkSession.read.schema(batch.schema.add("batch", "bigint")).parquet(log_path))
+        job.run(batch.sparkSession.read.schema(T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])).parquet(log_path))
 
     return deliveries.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
