@@ -53,6 +53,9 @@ class Transducer:
         self._forget()
 
     def _forget(self) -> None:
+        """Begin anew with what was learnt from texts; what is known of single tokens is bounded by the vocabulary and stays."""
+        self._fits.clear()
+        self._ending.clear()
         start = (b"", ((),), (-1,))
         self._states = [start]
         self._number = {start: self.START}

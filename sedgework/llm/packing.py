@@ -24,6 +24,8 @@ from sedgework.sources.scratch import Scratch
 
 #: Items of one length that are ranked together.
 BLOCK = 100_000
+#: Patterns are sent to every task. Each length adds at most a few, so their number follows the capacity and not the items.
+MOST_BYTES = 512 << 20
 
 
 @dataclass(frozen=True)
@@ -123,20 +125,19 @@ def packed(sizes: DataFrame, capacity: int, scratch: Scratch | None = None, labe
     items = pieces(sizes, capacity)
     histogram = {r[0]: r[1] for r in items.groupBy("n_tokens").agg(F.count(F.lit(1))).collect()}
     found = _intervals(patterns(histogram, capacity))
-    blocks = np.zeros(capacity + 1, dtype=np.int64)
-    for length, n in histogram.items():
-        blocks[length] = -(-n // BLOCK)
-    many = {k: int(blocks[k]) for k in histogram if blocks[k] > 1}
-    n_blocks = F.lit(1)
-    if many:
-        n_blocks = F.coalesce(F.element_at(F.create_map(*[F.lit(x).cast("bigint") for kv in many.items() for x in kv]), F.col("n_tokens")), F.lit(1).cast("bigint"))
-    placed = scratch.keep(items.withColumn("block", F.pmod(F.xxhash64("doc_id", "part"), n_blocks)), label)
+    # a row for each length of more than BLOCK items, so at most ``capacity`` rows, whatever the number of items
+    blocks_of = spark.createDataFrame([(k, -(-n // BLOCK)) for k, n in histogram.items() if n > BLOCK], "n_tokens bigint, n_blocks bigint")
+    blocked = items.join(F.broadcast(blocks_of), "n_tokens", "left")
+    placed = scratch.keep(blocked.select(*items.columns, F.pmod(F.xxhash64("doc_id", "part"), F.coalesce("n_blocks", F.lit(1).cast("bigint"))).alias("block")), label)
     totals = placed.groupBy("n_tokens", "block").agg(F.count(F.lit(1)).alias("c"))
     before = Window.partitionBy("n_tokens").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("n_tokens", "block", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("n_tokens", "block").orderBy("doc_id", "part")
     ranked = placed.withColumn("own", F.row_number().over(within) - 1).join(bases, ["n_tokens", "block"]).select("doc_id", "part", "first_token", "n_tokens", (F.col("base") + F.col("own")).alias("rank"))
-    shared = spark.sparkContext.broadcast(found)  # at most a few rows per length and pattern, whatever the number of items
+    held = sum(x.nbytes for x in found.values())
+    if held > MOST_BYTES:
+        raise ValueError(f"the patterns of capacity {capacity} take {held} bytes, more than is sent to every task")
+    shared = spark.sparkContext.broadcast(found)
 
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = shared.value
