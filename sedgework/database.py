@@ -27,10 +27,17 @@ from sedgework.operators import graphs as G
 from sedgework.operators import indexes as I
 from sedgework.operators import views as V
 from sedgework.operators.indexes import MAIN, IndexDefinition
+from sedgework.sources.scratch import Scratch
 from sedgework.sources.store import Snapshot, Store
 
 DURABILITY = ("full", "metadata-lazy", "nosync")
 
+#: A batch of at most so many rows, given as Python objects, looks up what it needs by its keys.
+FEW = 1000
+#: What a collection's rows are named and sorted by.
+DOCUMENT_KEYS, NODE_ORDER = ["id"], ["graph", "id"]
+EDGE_ORDER = {"edges": ["graph", "source", "predicate", "id"], "edges_in": ["graph", "target", "predicate", "id"]}
+
 #: Definitions that each database applies when opened, unless it has its own.
 INDEX_DEFINITIONS: list[IndexDefinition] = []
 
@@ -94,23 +101,43 @@ class Transaction:
         self.base: Snapshot = database.store.latest()
         self.staged: dict[str, dict | None] = {}
 
+    def entry(self, keyspace: str) -> dict | None:
+        return (self.staged if keyspace in self.staged else self.base.keyspaces).get(keyspace)
+
     def read(self, keyspace: str, schema: T.StructType) -> DataFrame:
-        if keyspace in self.staged:
-            at = self.staged[keyspace]
-            found = None if at is None else self.database.store.read_staged(at)
-        else:
-            found = self.database.store.read(self.base, keyspace)
-        return self.database.spark.createDataFrame([], schema) if found is None else found
+        at = self.entry(keyspace)
+        return self.database.spark.createDataFrame([], schema) if at is None else self.database.store.read_staged(at)
 
     def has(self, keyspace: str) -> bool:
-        return (self.staged if keyspace in self.staged else self.base.keyspaces).get(keyspace) is not None
+        return self.entry(keyspace) is not None
 
     def rows(self, keyspace: str) -> int:
-        at = (self.staged if keyspace in self.staged else self.base.keyspaces).get(keyspace)
-        return at["rows"] if at else 0
+        at = self.entry(keyspace)
+        return self.database.store.count(at) if at else 0
+
+    def write(self, keyspace: str, rows: DataFrame, keys: Sequence[str] = (), order: Sequence[str] = ()) -> None:
+        """Put rows in the place of all that is there."""
+        meta = (self.entry(keyspace) or {}).get("meta", {})
+        self.staged[keyspace] = self.database.store.stage(keyspace, rows, keys, order) | {"meta": meta}
+
+    def change(self, keyspace: str, rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+        """Put rows in the place of those of their keys, or take these away where ``__gone``; what was written, read back."""
+        rows = rows if "__gone" in rows.columns else rows.withColumn("__gone", F.lit(False))
+        store, at = self.database.store, self.entry(keyspace)
+        new, part = store.stage_delta(keyspace, at, rows, keys, order)
+        self.staged[keyspace] = new
+        return store.read_part(new, part)
 
-    def write(self, keyspace: str, rows: DataFrame) -> None:
-        self.staged[keyspace] = self.database.store.stage(keyspace, rows)
+    def add(self, keyspace: str, rows: DataFrame) -> None:
+        self.staged[keyspace] = self.database.store.stage_more(keyspace, self.entry(keyspace), rows)
+
+    def next_number(self, keyspace: str) -> int:
+        """The first number that no row of the keyspace has had."""
+        return (self.entry(keyspace) or {}).get("meta", {}).get("next", 1)
+
+    def numbered(self, keyspace: str, following: int) -> None:
+        at = self.staged[keyspace]
+        self.staged[keyspace] = at | {"meta": {"next": following}}
 
     def commit(self) -> None:
         if self.staged:
@@ -234,28 +261,41 @@ class Database:
             value = F.col("value") if isinstance(kind, T.VariantType) else F.parse_json(F.to_json("value")) if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)) else F.col("value").cast("variant")
             order = F.col("ord") if "ord" in documents.columns else F.lit(0)
             return documents.select("id", value.alias("value"), F.lit(bool(changed)).alias("changed"), order.cast("bigint").alias("ord"))
-        rows = []
-        for i, d in enumerate(documents):
+        last = {}
+        for d in documents:
             d = d if isinstance(d, Document) else Document(d[1], d[0])
-            rows.append((d.id, encode(d.value), d.changed if changed is None else changed, i))
+            last.pop(d.id, None)
+            last[d.id] = d
+        rows = [(d.id, encode(d.value), d.changed if changed is None else changed, i) for i, d in enumerate(last.values())]
         return self.spark.createDataFrame(rows, "id string, json string, changed boolean, ord bigint").select("id", F.when(F.col("json") != "null", F.parse_json("json")).alias("value"), "changed", "ord")
 
+    def _batch(self, documents: DataFrame | Iterable[Document | tuple[str, object]], changed: bool | None) -> DataFrame:
+        """_frame with each id once."""
+        rows = self._frame(documents, changed)
+        return D.last_writes(rows, ["id"], "ord") if isinstance(documents, DataFrame) else rows
+
     def _write_documents(self, t: Transaction, rows: DataFrame, collection: str, track: bool) -> None:
-        keyspace = self._keyspace(collection)
-        batch_key = f"tmp/{collection}"
-        t.write(batch_key, D.last_writes(rows, ["id"], "ord"))  # ids may be generated: written once, then used
-        batch = t.read(batch_key, schemas.DOCUMENT)
-        t.write(keyspace, D.upsert(t.read(keyspace, schemas.DOCUMENT), batch.select("id", "value", "changed")))
+        """rows: id, value, changed, ord; each id once."""
+        written = t.change(self._keyspace(collection), rows.select("id", "value", "changed"), DOCUMENT_KEYS, DOCUMENT_KEYS)
         for definition in self.secondary_indexes_for(collection):
-            self._write_postings(t, definition, I.update_postings(self._postings(t, definition), batch, self._own_key(definition)))
+            self._change_postings(t, definition, I.posting_changes(written, self._own_key(definition)))
         if track:
-            self._log(t, batch.select("id", "ord"), collection)
-        del t.staged[batch_key]
+            # ids are generated once, when the documents are written; a batch of Python objects has its ids already
+            self._log(t, rows.select("id", "ord"), collection)
+
+    def _change_postings(self, t: Transaction, definition: IndexDefinition, changes: DataFrame) -> None:
+        """Write a delta of postings; of a unique index, check the keys that it has."""
+        written = t.change(self._index_keyspace(definition), changes, ["doc_id"], ["key", "doc_id"])
+        if definition.unique:
+            keys = written.select("key").where(F.col("key").isNotNull())
+            few = [r[0] for r in keys.limit(FEW + 1).collect()]
+            now = self._postings(t, definition)
+            I.check_unique(now.where(F.col("key").isin(few)) if len(few) <= FEW else now.join(keys.distinct(), "key", "left_semi"), definition)
 
     def put(self, document: Document, collection: str = MAIN) -> Document:
         """Write one document, mark it changed and log its id."""
         with self._boundary("write") as t:
-            self._write_documents(t, self._frame([document], True), collection, track=True)
+            self._write_documents(t, self._batch([document], True), collection, track=True)
         document.changed = True
         return document
 
@@ -265,7 +305,7 @@ class Database:
     def put_bulk(self, documents: DataFrame | Iterable[Document | tuple[str, object]], collection: str = MAIN, sorted: bool = False, track_changes: bool = False) -> None:
         """Write many documents in one transaction; of repeated ids the last wins. sorted is a hint without effect."""
         with self._boundary("write") as t:
-            self._write_documents(t, self._frame(documents, True if track_changes else None), collection, track_changes)
+            self._write_documents(t, self._batch(documents, True if track_changes else None), collection, track_changes)
 
     def put_json(self, text: str) -> str:
         """Write a JSON object into the main collection; the id is its ``_id``, its ``id`` or a generated one, and is returned."""
@@ -280,9 +320,13 @@ class Database:
         with self._boundary("write") as t:
             if t.rows(self._keyspace(collection)):
                 raise NotEmpty(f"collection {collection!r} has documents")
-            self._write_documents(t, self._frame(documents, True if track_changes else None), collection, track_changes)
-            kept = t.read(self._keyspace(collection), schemas.DOCUMENT)
-            t.write(self._keyspace(collection), kept.repartitionByRange("id").sortWithinPartitions("id"))
+            batch = self._batch(documents, True if track_changes else None)
+            order = batch.select("id", "ord") if track_changes else None
+            t.write(self._keyspace(collection), self.store.in_order(batch.select("id", "value", "changed"), DOCUMENT_KEYS), DOCUMENT_KEYS, DOCUMENT_KEYS)
+            for definition in self.secondary_indexes_for(collection):
+                self._write_postings(t, definition, I.rebuild_index(t.read(self._keyspace(collection), schemas.DOCUMENT), self._own_key(definition)))
+            if order is not None:
+                self._log(t, order, collection)
 
     def fetch(self, id: str, collection: str = MAIN) -> Document | None:
         row = D.fetch(self.documents(collection), id).first()
@@ -304,13 +348,13 @@ class Database:
     def delete_document(self, id: str, collection: str = MAIN) -> bool | None:
         """True, or None if there was none. Not logged as a change."""
         with self._boundary("write") as t:
-            rows = t.read(self._keyspace(collection), schemas.DOCUMENT)
-            if D.fetch(rows, id).isEmpty():
+            if D.fetch(t.read(self._keyspace(collection), schemas.DOCUMENT), id).isEmpty():
                 return None
             gone = self.spark.createDataFrame([(id,)], "id string")
-            t.write(self._keyspace(collection), D.delete(rows, gone))
+            none = F.lit(None)
+            t.change(self._keyspace(collection), gone.select("id", none.cast("variant").alias("value"), none.cast("boolean").alias("changed"), F.lit(True).alias("__gone")), DOCUMENT_KEYS, DOCUMENT_KEYS)
             for definition in self.secondary_indexes_for(collection):
-                self._write_postings(t, definition, I.update_postings(self._postings(t, definition), rows.limit(0), self._own_key(definition), ids=gone))
+                self._change_postings(t, definition, I.gone_postings(gone, definition))
             return True
 
     def select(self, where: Column | Callable | None = None, collection: str = MAIN, limit: int = 0, offset: int = 0) -> DataFrame:
@@ -326,18 +370,23 @@ class Database:
             function(row["id"], _python(row["value"]))
 
     def database_stats(self, collection: str = MAIN) -> dict:
-        """From the manifest, without a scan."""
+        """From the manifest; after writes that may replace documents, entries are counted by their ids."""
         with self._boundary("any") as t:
             return {"entries": t.rows(self._keyspace(collection)), "snapshot": t.base.number, "keyspaces": sorted(t.base.keyspaces)}
 
     # change log
 
     def _log(self, t: Transaction, batch: DataFrame, collection: str) -> None:
-        log = t.read("changes", schemas.CHANGE)
-        last = log.agg(F.max("seq")).first()[0] or 0
+        start = t.next_number("changes")
         ordered = batch.repartitionByRange("ord", "id").sortWithinPartitions("ord", "id")
-        fresh = ordered.select((F.monotonically_increasing_id() + last + 1).alias("seq"), F.lit(collection).alias("collection"), F.col("id").alias("doc_id"))
-        t.write("changes", log.unionByName(fresh))
+        fresh = ordered.select((F.monotonically_increasing_id() + start).alias("seq"), F.lit(collection).alias("collection"), F.col("id").alias("doc_id"))
+        t.add("changes", fresh)
+        t.numbered("changes", self._following(t, "changes", "seq", start))
+
+    def _following(self, t: Transaction, keyspace: str, column: str, start: int) -> int:
+        """The first number after those that the last part written has in a column."""
+        at = t.entry(keyspace)
+        return max(start, (self.store.read_part(at, at["parts"][-1]).agg(F.max(column)).first()[0] or 0) + 1)
 
     def changes(self) -> DataFrame:
         """seq, collection, doc_id of logged changes."""
@@ -374,7 +423,7 @@ class Database:
         return t.read(self._index_keyspace(definition), schemas.POSTING_UINT64 if definition.key_type == UINT64 else schemas.POSTING_STRING)
 
     def _write_postings(self, t: Transaction, definition: IndexDefinition, postings: DataFrame) -> None:
-        t.write(self._index_keyspace(definition), I.sorted_for_storage(postings))
+        t.write(self._index_keyspace(definition), I.sorted_for_storage(postings), ["doc_id"], ["key", "doc_id"])
         I.check_unique(self._postings(t, definition), definition)
 
     def register_index(self, index: IndexDefinition | str, key: Expression | None = None, collection: str = MAIN, key_type: str = STRING, unique: bool = False, multi_valued: bool = False, rebuild: bool = False) -> IndexDefinition:
@@ -451,17 +500,25 @@ class Database:
     def put_nodes(self, nodes: DataFrame | Iterable[Node], graph: str = G.DEFAULT_GRAPH, sorted: bool = False) -> None:
         """Write nodes; one that is there keeps its row id. Of repeated ids the last wins. A DataFrame has id and props, and its ord if ids repeat."""
         if isinstance(nodes, DataFrame):
-            order = F.col("ord") if "ord" in nodes.columns else F.lit(0)
-            batch = nodes.select(F.lit(graph).alias("graph"), F.col("id").cast("string").alias("id"), F.to_json(F.struct("props")).alias("json"), order.cast("bigint").alias("ord"))
-            batch = batch.withColumn("json", F.get_json_object("json", "$.props"))
+            order = "ord" if "ord" in nodes.columns else None
+            batch = nodes.select(F.lit(graph).alias("graph"), F.col("id").cast("string").alias("id"), F.to_json(F.struct("props")).alias("json"), (F.col("ord") if order else F.lit(0)).cast("bigint").alias("ord"))
+            batch, few = D.last_writes(batch.withColumn("json", F.get_json_object("json", "$.props")), G.KEY, "ord"), None
         else:
-            rows = [(graph, str(n.id), encode(n.props), i) for i, n in enumerate(nodes)]
-            batch = self.spark.createDataFrame(rows, "graph string, id string, json string, ord bigint")
-        batch = D.last_writes(batch, G.KEY, "ord")
+            last = {}
+            for n in nodes:
+                last.pop(str(n.id), None)
+                last[str(n.id)] = n
+            order, few = "ord", list(last)
+            batch = self.spark.createDataFrame([(graph, k, encode(n.props), i) for i, (k, n) in enumerate(last.items())], "graph string, id string, json string, ord bigint")
         with self._boundary("write") as t:
-            old = t.read("nodes", schemas.NODE)
-            new = G.with_row_ids(old, batch, "ord").select("graph", "id", "row_id", F.when(F.col("json") != "null", F.parse_json("json")).alias("props"))
-            t.write("nodes", G.upsert(old, new))
+            new = G.with_row_ids(self._named(t.read("nodes", schemas.NODE), graph, few), batch, order, start := t.next_number("nodes"))
+            written = t.change("nodes", new.select("graph", "id", "row_id", F.when(F.col("json") != "null", F.parse_json("json")).alias("props")), G.KEY, NODE_ORDER)
+            t.numbered("nodes", max(start, (written.agg(F.max("row_id")).first()[0] or 0) + 1))
+
+    @staticmethod
+    def _named(rows: DataFrame, graph: str, ids: Sequence[str] | None) -> DataFrame:
+        """rows, or if ids are few just those of these ids, so that few files are read."""
+        return rows if ids is None or len(ids) > FEW else rows.where((F.col("graph") == graph) & F.col("id").isin(list(ids)))
 
     def fetch_node(self, id: str, graph: str = G.DEFAULT_GRAPH) -> Node | None:
         row = G.fetch(self.nodes(), graph, str(id)).first()
@@ -481,22 +538,41 @@ class Database:
         A DataFrame has id, source, predicate and target, and its ord if ids repeat.
         """
         if isinstance(edges, DataFrame):
-            order = F.col("ord") if "ord" in edges.columns else F.lit(0)
-            batch = edges.select(F.lit(graph).alias("graph"), "id", "source", F.coalesce("predicate", F.lit(DEFAULT_PREDICATE)).alias("predicate"), "target", order.cast("bigint").alias("ord"))
-            self._write_edges(D.last_writes(batch, G.KEY, "ord"))
+            order = "ord" if "ord" in edges.columns else None
+            batch = edges.select(F.lit(graph).alias("graph"), "id", "source", F.coalesce("predicate", F.lit(DEFAULT_PREDICATE)).alias("predicate"), "target", (F.col("ord") if order else F.lit(0)).cast("bigint").alias("ord"))
+            self._write_edges(D.last_writes(batch, G.KEY, "ord"), graph, order)
             return
-        rows = [(graph, str(e.id), str(e.source), str(e.predicate), str(e.target), i) for i, e in enumerate(edges)]
-        self._write_edges(D.last_writes(self.spark.createDataFrame(rows, "graph string, id string, source string, predicate string, target string, ord bigint"), G.KEY, "ord"))
-
-    def _write_edges(self, batch: DataFrame) -> None:
+        last = {}
+        for e in edges:
+            last.pop(str(e.id), None)
+            last[str(e.id)] = e
+        rows = [(graph, k, str(e.source), str(e.predicate), str(e.target), i) for i, (k, e) in enumerate(last.items())]
+        ends = list({x for r in rows for x in (r[2], r[4])})
+        self._write_edges(self.spark.createDataFrame(rows, "graph string, id string, source string, predicate string, target string, ord bigint"), graph, "ord", list(last), ends)
+
+    def _write_edges(self, batch: DataFrame, graph: str, order: str | None, ids: Sequence[str] | None = None, ends: Sequence[str] | None = None) -> None:
         with self._boundary("write") as t:
-            G.check_endpoints(batch, t.read("nodes", schemas.NODE))
-            old = t.read("edges", schemas.EDGE)
-            new = G.with_row_ids(old, batch, "ord").select(*schemas.EDGE.names)
-            t.write("edges", G.sorted_for_storage(G.upsert(old, new)))
+            G.check_endpoints(batch, self._named(t.read("nodes", schemas.NODE), graph, ends))
+            new = G.with_row_ids(self._named(t.read("edges", schemas.EDGE), graph, ids), batch, order, start := t.next_number("edges"))
+            written = self._change_edges(t, new.select(*schemas.EDGE.names))
+            t.numbered("edges", max(start, (written.agg(F.max("row_id")).first()[0] or 0) + 1))
 
-    def put_edges_triples(self, triples: Iterable[Sequence[str]], graph: str = G.DEFAULT_GRAPH) -> None:
-        """Edges with generated ids of (source, target) or (source, target, predicate)."""
+    @staticmethod
+    def _change_edges(t: Transaction, rows: DataFrame) -> DataFrame:
+        """Write a delta of edges in the order of their sources and, from what was written, in that of their targets."""
+        had = t.has("edges")
+        written = t.change("edges", rows, G.KEY, EDGE_ORDER["edges"])
+        if had or "__gone" not in rows.columns:
+            t.change("edges_in", written, G.KEY, EDGE_ORDER["edges_in"])
+        return written
+
+    def put_edges_triples(self, triples: DataFrame | Iterable[Sequence[str]], graph: str = G.DEFAULT_GRAPH) -> None:
+        """Edges with generated ids of (source, target) or (source, target, predicate); a DataFrame has these columns, predicate being optional."""
+        if isinstance(triples, DataFrame):
+            rows = triples if "predicate" in triples.columns else triples.withColumn("predicate", F.lit(None).cast("string"))
+            # ids are generated once: written, then used
+            self.put_edges(Scratch(self.spark, "triples").keep(G.edges_from_triples(rows, graph), "edges"), graph)
+            return
         self.put_edges([Edge(t[0], t[1], t[2] if len(t) > 2 and t[2] is not None else DEFAULT_PREDICATE) for t in triples], graph)
 
     def fetch_edge(self, id: str, graph: str = G.DEFAULT_GRAPH) -> Edge | None:
@@ -510,7 +586,11 @@ class Database:
         return G.enumerate_graph(self.edges(), graph).orderBy("id")
 
     def fetch_node_edges(self, node: str, graph: str = G.DEFAULT_GRAPH, incoming: bool = False, predicate: str | None = None) -> DataFrame:
-        return G.node_edges(self.edges(), graph, node, incoming, predicate)
+        return G.node_edges(self._read(self._edges_of(incoming), schemas.EDGE), graph, node, incoming, predicate)
+
+    @staticmethod
+    def _edges_of(incoming: bool) -> str:
+        return "edges_in" if incoming else "edges"
 
     def fetch_node_edge_ids(self, node: str, graph: str = G.DEFAULT_GRAPH, incoming: bool = False, predicate: str | None = None) -> list[str]:
         """Ids in order of insertion, neighbor by neighbor."""
@@ -522,31 +602,40 @@ class Database:
 
     def fetch_node_neighbors(self, node: str, graph: str = G.DEFAULT_GRAPH, incoming: bool = False, predicate: str | None = None) -> DataFrame:
         with self._boundary("any") as t:
-            return G.node_neighbors(t.read("edges", schemas.EDGE), t.read("nodes", schemas.NODE), graph, node, incoming, predicate)
+            return G.node_neighbors(t.read(self._edges_of(incoming), schemas.EDGE), t.read("nodes", schemas.NODE), graph, node, incoming, predicate)
 
     def delete_edge(self, edge: Edge | str, graph: str = G.DEFAULT_GRAPH) -> bool:
         """Always True, whether or not the edge was there."""
         gone = self.spark.createDataFrame([(graph, edge.id if isinstance(edge, Edge) else str(edge))], "graph string, id string")
         with self._boundary("write") as t:
-            t.write("edges", G.sorted_for_storage(G.delete_edges(t.read("edges", schemas.EDGE), gone)))
+            if t.has("edges"):
+                self._change_edges(t, self._gone_edges(gone))
         return True
 
+    @staticmethod
+    def _gone_edges(gone: DataFrame) -> DataFrame:
+        none = F.lit(None)
+        return gone.select(*[F.col(f.name) if f.name in G.KEY else none.cast(f.dataType).alias(f.name) for f in schemas.EDGE.fields], F.lit(True).alias("__gone"))
+
     def delete_node(self, id: str, graph: str = G.DEFAULT_GRAPH) -> bool | None:
-        """Delete a node and the edges at it; None if there was none."""
+        """Delete a node and the edges at it, found through both orders of edges; None if there was none."""
         with self._boundary("write") as t:
-            nodes, edges = t.read("nodes", schemas.NODE), t.read("edges", schemas.EDGE)
-            if G.fetch(nodes, graph, str(id)).isEmpty():
+            if G.fetch(t.read("nodes", schemas.NODE), graph, str(id)).isEmpty():
                 return None
+            none = F.lit(None)
             gone = self.spark.createDataFrame([(graph, str(id))], "graph string, id string")
-            left_nodes, left_edges = G.delete_nodes(nodes, edges, gone)
-            t.write("nodes", left_nodes)
-            t.write("edges", G.sorted_for_storage(left_edges))
+            t.change("nodes", gone.select("graph", "id", none.cast("bigint").alias("row_id"), none.cast("variant").alias("props"), F.lit(True).alias("__gone")), G.KEY, NODE_ORDER)
+            if t.has("edges"):
+                at = [G.node_edges(t.read(self._edges_of(incoming), schemas.EDGE), graph, str(id), incoming).select(*G.KEY) for incoming in (False, True)]
+                self._change_edges(t, self._gone_edges(at[0].unionByName(at[1]).distinct()))
             return True
 
     def clear_graph(self, graph: str = G.DEFAULT_GRAPH) -> bool:
         with self._boundary("write") as t:
-            t.write("nodes", G.clear_graph(t.read("nodes", schemas.NODE), graph))
-            t.write("edges", G.sorted_for_storage(G.clear_graph(t.read("edges", schemas.EDGE), graph)))
+            if t.has("nodes"):
+                t.write("nodes", self.store.in_order(G.clear_graph(t.read("nodes", schemas.NODE), graph), NODE_ORDER), G.KEY, NODE_ORDER)
+            for keyspace, order in EDGE_ORDER.items() if t.has("edges") else ():
+                t.write(keyspace, self.store.in_order(G.clear_graph(t.read(keyspace, schemas.EDGE), graph), order), G.KEY, order)
         return True
 
     # views
@@ -580,20 +669,20 @@ class Database:
 
     def clear_view(self, view: V.View) -> None:
         with self._boundary("write") as t:
-            t.write(self._view_keyspace(view), t.read(self._view_keyspace(view), self._view_schema(view)).limit(0))
+            t.write(self._view_keyspace(view), t.read(self._view_keyspace(view), self._view_schema(view)).limit(0), ["key"], ["key"])
 
     def insert_results(self, view: V.View, rows: Iterable[tuple[str, object]]) -> None:
         """Put rows into a view; of repeated keys the last wins."""
         schema = self._view_schema(view)
         new = self.spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], T.StructType([*schema.fields, T.StructField("ord", T.LongType())]))
         with self._boundary("write") as t:
-            t.write(self._view_keyspace(view), V.insert(t.read(self._view_keyspace(view), schema), D.last_writes(new, ["key"], "ord").select("key", "value")))
+            t.change(self._view_keyspace(view), D.last_writes(new, ["key"], "ord").select("key", "value"), ["key"], ["key"])
 
     def apply_view_to_database(self, view: V.View, skip_errors: bool = False) -> None:
         """Build a view anew. A failing mapper raises ViewError, or its document is skipped."""
         try:
             with self._boundary("write") as t:
-                t.write(self._view_keyspace(view), V.rebuild(t.read(self._keyspace(view.source), schemas.DOCUMENT), self._own_map(view), skip_errors))
+                t.write(self._view_keyspace(view), V.rebuild(t.read(self._keyspace(view.source), schemas.DOCUMENT), self._own_map(view), skip_errors).sortWithinPartitions("key"), ["key"], ["key"])
         except StoreError:
             raise
         except Exception as cause:
@@ -604,8 +693,7 @@ class Database:
         if not isinstance(changed, DataFrame):
             changed = self.spark.createDataFrame(list(enumerate(changed)), "seq bigint, doc_id string")
         with self._boundary("write") as t:
-            rows = t.read(self._view_keyspace(view), self._view_schema(view))
-            t.write(self._view_keyspace(view), V.apply(rows, t.read(self._keyspace(view.source), schemas.DOCUMENT), changed, self._own_map(view)))
+            t.change(self._view_keyspace(view), V.fresh(t.read(self._keyspace(view.source), schemas.DOCUMENT), changed, self._own_map(view)), ["key"], ["key"])
 
     @contextlib.contextmanager
     def with_views(self, views: Sequence[V.View]) -> Iterator[Database]:

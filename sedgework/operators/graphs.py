@@ -20,17 +20,17 @@ def upsert(rows: DataFrame, batch: DataFrame, ordinal: str | None = None) -> Dat
     return rows.join(new.select(*KEY), KEY, "left_anti").select(*rows.columns).unionByName(new.select(*rows.columns))
 
 
-def with_row_ids(rows: DataFrame, batch: DataFrame, ordinal: str) -> DataFrame:
-    """batch with ``row_id``: that of the row it replaces, else a new one above all of rows, increasing with ordinal. Gaps are left, ids never come again."""
-    start = (rows.agg(F.max("row_id")).first()[0] or 0) + 1
-    ordered = batch.repartitionByRange(F.col(ordinal)).sortWithinPartitions(ordinal).withColumn("__new", F.monotonically_increasing_id() + start)
+def with_row_ids(rows: DataFrame, batch: DataFrame, ordinal: str | None, start: int) -> DataFrame:
+    """batch with ``row_id``: that of the row it replaces, else a new one from start on, increasing with ordinal, if there is one. Gaps are left."""
+    ordered = batch if ordinal is None else batch.repartitionByRange(F.col(ordinal)).sortWithinPartitions(ordinal)
     kept = rows.select(*KEY, "row_id")
-    return ordered.join(kept, KEY, "left").withColumn("row_id", F.coalesce("row_id", "__new")).drop("__new")
+    return ordered.withColumn("__new", F.monotonically_increasing_id() + start).join(kept, KEY, "left").withColumn("row_id", F.coalesce("row_id", "__new")).drop("__new")
 
 
 def unknown_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The edges of which an endpoint is null or no node of their graph."""
-    known = nodes.select("graph", "id").distinct()
+    """The edges of which an endpoint is null or no node of their graph. Of the nodes, only those that the edges name are looked at further."""
+    ends = edges.select("graph", F.explode(F.array("source", "target")).alias("id")).where(F.col("id").isNotNull()).distinct()
+    known = nodes.select(*KEY).join(ends, KEY, "left_semi").distinct()
     sources = known.select("graph", F.col("id").alias("source"), F.lit(True).alias("__s"))
     targets = known.select("graph", F.col("id").alias("target"), F.lit(True).alias("__t"))
     checked = edges.join(sources, ["graph", "source"], "left").join(targets, ["graph", "target"], "left")

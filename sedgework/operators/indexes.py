@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sedgework.errors import UniqueViolation
-from sedgework.functions.keys import STRING, Expression, as_column, check_key_type, checked_key, key_column, literal_key
+from sedgework.functions.keys import SPARK_TYPE, STRING, Expression, as_column, check_key_type, checked_key, key_column, literal_key
 
 MAIN = "std"
 
@@ -91,6 +91,16 @@ def update_postings(postings: DataFrame, written: DataFrame, definition: IndexDe
     return postings.join(gone, "doc_id", "left_anti").select("key", "doc_id").unionByName(build_postings(written, definition))
 
 
+def posting_changes(written: DataFrame, definition: IndexDefinition) -> DataFrame:
+    """What written documents change in a posting table, as a delta: key, doc_id and ``__gone``, a row for each posting and one that takes away what the document had."""
+    new = build_postings(written, definition).withColumn("__gone", F.lit(False))
+    return new.unionByName(gone_postings(written.select("id"), definition))
+
+
+def gone_postings(ids: DataFrame, definition: IndexDefinition) -> DataFrame:
+    return ids.select(F.lit(None).cast(SPARK_TYPE[definition.key_type]).alias("key"), F.col("id").alias("doc_id"), F.lit(True).alias("__gone"))
+
+
 def clear_index(postings: DataFrame) -> DataFrame:
     return postings.limit(0)
 

@@ -62,9 +62,14 @@ def apply(rows: DataFrame, documents: DataFrame, changed: DataFrame, view: View)
     Rows that a document emitted before and doesn't any more stay, as do those of deleted documents; rebuild drops them.
     An id listed more than once counts at its last seq.
     """
+    return insert(rows, fresh(documents, changed, view))
+
+
+def fresh(documents: DataFrame, changed: DataFrame, view: View) -> DataFrame:
+    """The rows that documents of changed (seq, doc_id) emit, one for each key, in order of seq."""
     last = changed.groupBy(F.col("doc_id").alias("id")).agg(F.max("seq").alias("seq"))
-    fresh = emitted(documents.join(last.select("id"), "id", "left_semi"), view).join(last, "id")
-    return insert(rows, _last(fresh, "seq", "ord"))
+    found = emitted(documents.join(last.select("id"), "id", "left_semi"), view).join(last, "id")
+    return _last(found, "seq", "ord")
 
 
 def insert(rows: DataFrame, new: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
 """Versioned snapshots: keyspaces of Parquet files under one manifest, committed together or not at all.
 
-``<root>/data/<keyspace>/<token>/`` holds one version of one keyspace, ``<root>/manifest/<n>.json`` names the version of each
-keyspace in snapshot n. A commit writes manifest n + 1 only if nobody else did; readers keep the snapshot they began with.
+A keyspace is a list of parts, folders ``<root>/data/<keyspace>/<token>/``: base parts, whose rows all count, and then deltas, in
+their order. A delta's rows replace all rows of their keys; a row with ``__gone`` only takes them away. A write adds a delta, so it costs what it
+writes and not what is there; a read leaves the base rows of the deltas' keys out. When deltas become many they are merged
+into one, and when they are large against the base, with it, in the keyspace's order. ``<root>/manifest/<n>.json`` names the parts
+of each keyspace in snapshot n. A commit writes manifest n + 1 only if nobody else did; readers keep the snapshot they began with.
 Nothing that a manifest names is ever written again.
 """
 
@@ -10,21 +13,28 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from urllib.parse import quote, urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sedgework.errors import CommitConflict
 
 #: Snapshots that a vacuum keeps besides those named.
 KEEP = 10
+#: Deltas, or small base parts, of a keyspace from which they are merged, and the share of the base's rows from which deltas are merged with it.
+DELTAS, SHARE = 8, 0.25
+SMALL = 1_000_000
+#: File systems on which a rename fails if the name is taken.
+RENAMES = {"hdfs", "viewfs", "file"}
 
 
 @dataclass(frozen=True)
 class Snapshot:
-    """number and, by keyspace, where it lies, its rows and its schema."""
+    """number and, by keyspace, its parts, schema and rows (None if they must be counted)."""
 
     number: int
     keyspaces: dict[str, dict] = field(default_factory=dict)
@@ -62,15 +72,88 @@ class Store:
         at = snapshot.keyspaces.get(keyspace)
         return None if at is None else self.read_staged(at)
 
-    def read_staged(self, at: dict) -> DataFrame:
-        return self.spark.read.schema(T.StructType.fromJson(at["schema"])).parquet(f"{self.root}/{at['path']}")
+    def _parts(self, at: dict, delta: bool) -> list[dict]:
+        return [p for p in at["parts"] if p["delta"] == delta]
+
+    def _base(self, at: dict) -> DataFrame:
+        schema = T.StructType.fromJson(at["schema"])
+        paths = [f"{self.root}/{p['path']}" for p in self._parts(at, False)]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _delta(self, at: dict) -> DataFrame:
+        """The rows of a keyspace's deltas that no later delta replaces, with ``__gone``."""
+        schema = T.StructType([*T.StructType.fromJson(at["schema"]).fields, T.StructField("__gone", T.BooleanType())])
+        parts = [self.spark.read.schema(schema).parquet(f"{self.root}/{p['path']}") for p in self._parts(at, True)]
+        if len(parts) == 1:
+            return parts[0]
+        rows = parts[0].withColumn("__n", F.lit(0))
+        for n, part in enumerate(parts[1:], 1):
+            rows = rows.unionByName(part.withColumn("__n", F.lit(n)))
+        last = F.max("__n").over(Window.partitionBy(*at["keys"]))
+        return rows.withColumn("__last", last).where(F.col("__n") == F.col("__last")).drop("__n", "__last")
 
-    def stage(self, keyspace: str, rows: DataFrame) -> dict:
-        """Write a version of a keyspace that no manifest names yet."""
+    def read_staged(self, at: dict) -> DataFrame:
+        base = self._base(at)
+        if not self._parts(at, True):
+            return base
+        delta = self._delta(at)
+        kept = base.join(delta.select(*at["keys"]), at["keys"], "left_anti").select(*base.columns)
+        return kept.unionByName(delta.where(~F.col("__gone")).select(*base.columns))
+
+    def _write(self, keyspace: str, rows: DataFrame, delta: bool) -> dict:
         path = f"data/{quote(keyspace, safe='')}/{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.root}/{path}")
         count = self.spark.read.schema(rows.schema).parquet(f"{self.root}/{path}").count()  # from the files' footers
-        return {"path": path, "rows": count, "schema": rows.schema.jsonValue()}
+        return {"path": path, "rows": count, "delta": delta}
+
+    def read_part(self, at: dict, part: dict) -> DataFrame:
+        """The rows of one part alone."""
+        schema = T.StructType.fromJson(at["schema"])
+        found = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("__gone", T.BooleanType())]) if part["delta"] else schema)
+        return found.parquet(f"{self.root}/{part['path']}")
+
+    def stage(self, keyspace: str, rows: DataFrame, keys: Sequence[str] = (), order: Sequence[str] = ()) -> dict:
+        """Write a version of a keyspace that no manifest names yet. keys: what names a row; order: that in which rows are sorted when they are merged."""
+        part = self._write(keyspace, rows, False)
+        return {"parts": [part], "rows": part["rows"], "schema": rows.schema.jsonValue(), "keys": list(keys), "order": list(order)}
+
+    def stage_more(self, keyspace: str, at: dict | None, rows: DataFrame) -> dict:
+        """A version with rows added, for keyspaces whose rows are never replaced."""
+        if at is None:
+            return self.stage(keyspace, rows)
+        part = self._write(keyspace, rows, False)
+        new = at | {"parts": [*at["parts"], part], "rows": at["rows"] + part["rows"]}
+        small = [p for p in new["parts"] if p["rows"] < SMALL]
+        if len(small) > DELTAS:
+            merged = self._write(keyspace, self._base(new | {"parts": small}).coalesce(1 + sum(p["rows"] for p in small) // SMALL), False)
+            new = new | {"parts": [p for p in new["parts"] if p not in small] + [merged]}
+        return new
+
+    def stage_delta(self, keyspace: str, at: dict | None, rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[dict, dict]:
+        """A version in which rows (with ``__gone``) replace those of their keys, and the part that holds them. Without anything before, the rows that stay are the base."""
+        columns = [c for c in rows.columns if c != "__gone"]
+        if at is None or not at["parts"]:
+            new = self.stage(keyspace, rows.where(~F.col("__gone")).select(*columns).sortWithinPartitions(*order), keys, order)
+            return new, new["parts"][0]
+        part = self._write(keyspace, rows.select(*columns, "__gone").sortWithinPartitions(*order), True)
+        return self._merged(keyspace, at | {"parts": [*at["parts"], part], "rows": None, "keys": list(keys), "order": list(order)}), part
+
+    def _merged(self, keyspace: str, at: dict) -> dict:
+        deltas = self._parts(at, True)
+        if len(deltas) <= DELTAS:
+            return at
+        if sum(p["rows"] for p in deltas) >= SHARE * sum(p["rows"] for p in self._parts(at, False)):
+            return self.stage(keyspace, self.in_order(self.read_staged(at), at["order"]), at["keys"], at["order"]) | {"meta": at.get("meta", {})}
+        one = self._write(keyspace, self._delta(at).sortWithinPartitions(*at["order"]), True)
+        return at | {"parts": [*self._parts(at, False), one]}
+
+    @staticmethod
+    def in_order(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+        """Range-partitioned and sorted, so that a look-up reads few files."""
+        return rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
+
+    def count(self, at: dict) -> int:
+        return at["rows"] if at["rows"] is not None else self.read_staged(at).count()
 
     def commit(self, base: Snapshot, staged: dict[str, dict | None]) -> Snapshot:
         """Publish staged versions on top of base; None drops a keyspace. Raises CommitConflict if base isn't the latest any more."""
@@ -102,14 +185,22 @@ class Store:
         return True
 
     def _publish(self, number: int, text: str) -> bool:
-        aside, final = self._path(f"{self.root}/manifest/.{uuid.uuid4().hex}"), self._path(f"{self.root}/manifest/{number}.json")
-        out = self._fs.create(aside, False)
-        out.write(bytearray(text.encode()))
-        if self.durability == "full":
-            out.hsync()
-        out.close()
-        if self._fs.exists(final) or not self._fs.rename(aside, final):  # a rename onto a name that is taken fails
-            self._fs.delete(aside, False)
+        """By a rename where a rename onto a name that is taken fails, else by a create that does (object stores show a file only when it is whole)."""
+        final = self._path(f"{self.root}/manifest/{number}.json")
+        renames = self._fs.getUri().getScheme() in RENAMES
+        at = self._path(f"{self.root}/manifest/.{uuid.uuid4().hex}") if renames else final
+        try:
+            out = self._fs.create(at, False)
+            out.write(bytearray(text.encode()))
+            if self.durability == "full" and renames:
+                out.hsync()
+            out.close()
+        except Exception:
+            if not renames and self._fs.exists(final):
+                return False
+            raise
+        if renames and not self._fs.rename(at, final):
+            self._fs.delete(at, False)
             return False
         return True
 
@@ -118,7 +209,7 @@ class Store:
         numbers = self._numbers()
         for number in numbers[:-keep] if keep else numbers:
             self._fs.delete(self._path(f"{self.root}/manifest/{number}.json"), False)
-        used = {v["path"] for n in self._numbers() for v in self.snapshot(n).keyspaces.values()}
+        used = {p["path"] for n in self._numbers() for v in self.snapshot(n).keyspaces.values() for p in v["parts"]}
         gone = 0
         data = self._path(f"{self.root}/data")
         for keyspace in self._fs.listStatus(data) if self._fs.exists(data) else []:

@@ -254,5 +254,52 @@ def test_vacuum_and_conflict(db):
     old = db.store.snapshot(1)
     with pytest.raises(CommitConflict):
         db.store.commit(old, {})
+    db.clear_changes()
     assert db.store.vacuum(keep=1) > 0
     assert db.fetch_value("x") == 2
+
+
+def _bytes(path):
+    return sum(f.stat().st_size for f in path.rglob("*") if f.is_file() and "manifest" not in f.parts)
+
+
+def test_a_write_costs_what_it_writes(spark, tmp_path):
+    """Bytes of one put don't depend on the documents that are there; deltas are merged and stay right."""
+    written = {}
+    for n in (200, 20_000):
+        root = tmp_path / str(n)
+        db = Database(spark, str(root), index_definitions=[IndexDefinition("n", "variant_get(value, '$.n', 'bigint')", key_type="uint64")]).open()
+        db.bulk_load(spark.range(n).selectExpr("lpad(id, 8, '0') AS id", "named_struct('n', id) AS value"))
+        before = _bytes(root)
+        db.put_value({"n": 7}, "00000005")
+        written[n] = _bytes(root) - before
+    assert written[20_000] <= 1.5 * written[200]
+    for i in range(9):
+        db.put_value({"n": 100_000 + i % 2}, f"0000001{i}")
+    assert len(db.store.latest().keyspaces["doc/std"]["parts"]) <= 9
+    assert db.count == 20_000 and db.index_document_ids("n", 100_001) == ["00000011", "00000013", "00000015", "00000017"]
+    assert db.index_document_ids("n", 7) == ["00000005", "00000007"] and db.index_document_ids("n", 11) == []
+
+
+def test_deltas_are_merged_with_a_small_base(spark, tmp_path):
+    db = Database(spark, str(tmp_path), index_definitions=[]).open()
+    for i in range(20):
+        db.put_value(i, f"k{i % 12:02d}")
+        if i == 18:
+            db.delete_document("k05")
+    assert [(r["id"], str(r["value"])) for r in db.documents().orderBy("id").collect()] == [(f"k{j:02d}", str(j + 12 if j < 8 else j)) for j in range(12) if j != 5]
+    assert db.count == 11 and [r["seq"] for r in db.changes().orderBy("seq").collect()] == list(range(1, 21))
+    assert len(db.store.latest().keyspaces["changes"]["parts"]) <= 9
+
+
+def test_edges_in_both_orders(spark, tmp_path):
+    db = Database(spark, str(tmp_path), index_definitions=[]).open()
+    db.put_nodes([Node(None, x) for x in "abc"])
+    db.put_edges([Edge("a", "b", "p", "1"), Edge("c", "b", "p", "2"), Edge("b", "b", "p", "3")])
+    assert [r["id"] for r in db.fetch_node_neighbors("b", incoming=True).orderBy("id").collect()] == ["a", "b", "c"]
+    db.put_edge(Edge("a", "c", "p", "1"))
+    assert [r["id"] for r in db.fetch_node_neighbors("b", incoming=True).orderBy("id").collect()] == ["b", "c"]
+    assert [r["id"] for r in db.fetch_node_neighbors("c", incoming=True).collect()] == ["a"]
+    db.delete_node("b")
+    assert [r["id"] for r in db.edges().collect()] == ["1"] and db.fetch_node_edges("b", incoming=True).count() == 0
+    assert db.fetch_node_edge_ids("c", incoming=True) == ["1"]
