@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sedgework.functions.batches import whole_groups
 from sedgework.functions.series import deviations, grow, run_lengths
 from sedgework.operators.chunking import chunked
 from sedgework.sources.scratch import Scratch
@@ -83,33 +84,6 @@ def decided(features: np.ndarray, source: np.ndarray, train: np.ndarray, train_s
     return score, limit[source]
 
 
-def _groups(batches: Iterator[pd.DataFrame], by: Sequence[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
-    """Rows in whole groups and the number of each row's group; rows come sorted by group. What is held is a batch and the group that it ends in."""
-    held: list[pd.DataFrame] = []
-    for batch in batches:
-        if not len(batch):
-            continue
-        held.append(batch)
-        if _starts(pd.concat([held[0].iloc[:1], batch], ignore_index=True), by)[1:].any():
-            rows = pd.concat(held, ignore_index=True)
-            starts = _starts(rows, by)
-            cut = int(np.flatnonzero(starts)[-1])
-            yield rows.iloc[:cut], np.cumsum(starts[:cut]) - 1
-            held = [rows.iloc[cut:]]
-    if held:
-        rows = pd.concat(held, ignore_index=True)
-        yield rows, np.cumsum(_starts(rows, by)) - 1
-
-
-def _starts(rows: pd.DataFrame, by: Sequence[str]) -> np.ndarray:
-    new = np.zeros(len(rows), dtype=bool)
-    for c in by:
-        now, before = rows[c], rows[c].shift()
-        new |= ((now != before) & ~(now.isna() & before.isna())).to_numpy(dtype=bool)
-    new[:1] = True
-    return new
-
-
 def _featured_rows(rows: pd.DataFrame, number: np.ndarray) -> pd.DataFrame:
     hours = pd.to_datetime(rows["__at"]).dt.hour.to_numpy(dtype=float)
     return rows.assign(**featured(rows["__value"].to_numpy(dtype=float), hours, number))
@@ -145,7 +119,7 @@ def judged(readings: DataFrame, fields: Sequence[str], series: Sequence[str] = (
         return found[reason.notna()] if cases_only else found
 
     def judge_short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, number in _groups(batches, [*keys, "__field"]):
+        for rows, number in whole_groups(batches, [*keys, "__field"]):
             found = _featured_rows(rows, number)
             order = np.lexsort((found["__hash"].to_numpy(), number))
             order = order[found["ordinary"].to_numpy()[order]]
@@ -155,12 +129,12 @@ def judged(readings: DataFrame, fields: Sequence[str], series: Sequence[str] = (
             yield result(found, *decided(matrix, number, matrix[fit], number[fit], int(number[-1]) + 1))
 
     def feature_long(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, number in _groups(batches, [*keys, "__field", "__chunk"]):
+        for rows, number in whole_groups(batches, [*keys, "__field", "__chunk"]):
             found = _featured_rows(rows, number)
             yield found[found["__core"]][kept_columns]
 
     def judge_long(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, number in _groups(batches, [*keys, "__field", "__chunk"]):
+        for rows, number in whole_groups(batches, [*keys, "__field", "__chunk"]):
             train = rows["__train"].to_numpy(dtype=bool)
             matrix, own = rows[FEATURES].to_numpy(dtype=float), rows[~train]
             yield result(own, *decided(matrix[~train], number[~train], matrix[train], number[train], int(number[-1]) + 1))

@@ -76,6 +76,7 @@ LEFT JOIN (SELECT graph, id, min(row_id) AS source_row FROM graph_node GROUP BY
 WHERE e.source IS NOT NULL AND e.target IS NOT NULL GROUP BY e.graph, e.source, e.target""",
         "p4_postings": f"WITH keys AS ({INDEX_KEYS}) SELECT name, key, count(DISTINCT doc_id) AS n_documents, min(doc_id) AS first_id, max(doc_id) AS last_id FROM keys WHERE key IS NOT NULL AND doc_id IS NOT NULL GROUP BY name, key",
         "p6_found": f"{WALK} SELECT n.graph, n.id AS node_id, coalesce(w.root, '') AS root_id, coalesce(w.depth, -1) AS depth FROM nodes n LEFT JOIN walk w USING (graph, id)",
+        "p6_descendants": f"{WALK}, steps AS (SELECT graph, id, depth, unnest(string_split(path, ' / ')) AS above, unnest(range(depth + 1)) AS level FROM walk) SELECT graph, above AS node_id, id AS descendant_id, depth - level AS distance FROM steps WHERE level < depth",
         "p6_paths": f"""
 {WALK}, above AS (SELECT graph, id, unnest(string_split(path, ' / ')) AS a FROM walk), sizes AS (SELECT graph, a AS id, count(*) - 1 AS n FROM above GROUP BY graph, a)
 SELECT w.graph, w.id AS node_id, w.path, s.n AS n_descendants FROM walk w JOIN sizes s USING (graph, id)""",

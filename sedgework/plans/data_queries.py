@@ -117,10 +117,15 @@ def p6_paths(spark: SparkSession, root: str) -> DataFrame:
     return paths.join(found.nodes().select("graph", "node_id", "n_descendants"), ["graph", "node_id"])
 
 
+def p6_descendants(spark: SparkSession, root: str) -> DataFrame:
+    """Every node below every node, and how far."""
+    return _hierarchy(spark, root).descendants()
+
+
 def tasks_of(spark: SparkSession) -> int:
     """Tasks to spread over: as many as the session shuffles into."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_capture": p2_capture, "p3_found": p3_found, "p3_table": p3_table, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_postings": p4_postings, "p5_found": p5_found, "p5_scores": p5_scores, "p6_found": p6_found, "p6_paths": p6_paths}
+    return {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_capture": p2_capture, "p3_found": p3_found, "p3_table": p3_table, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_postings": p4_postings, "p5_found": p5_found, "p5_scores": p5_scores, "p6_found": p6_found, "p6_paths": p6_paths, "p6_descendants": p6_descendants}

@@ -76,3 +76,24 @@ def test_current_links(spark, rows):
     ]
     links = hierarchy.current_links(spark.createDataFrame(data, "seq bigint, graph string, id string, source string, predicate string, target string"))
     assert rows(links) == [("g", "a", "c"), ("g", "a", "d"), ("g", "a", "e"), ("g", "a", "h"), ("g", "a", "i"), ("h", "p", "q")]
+
+
+@pytest.mark.parametrize("tree, finish, segment", [(3, 0, 1024), (0, 4, 3), (200_000, 1_000_000, 2)])
+def test_rounds_and_tasks_give_the_same(spark, monkeypatch, tree, finish, segment):
+    """Large trees in rounds, the rest of the ways in one task, and short segments: always the same hierarchy."""
+    for name, value in (("TREE", tree), ("FINISH", finish), ("SEGMENT", segment)):
+        monkeypatch.setattr(hierarchy, name, value)
+    chain = [("g", f"c{i:02}", f"c{i + 1:02}") for i in range(14)]
+    side = [("g", "c03", "d1"), ("g", "d1", "d2"), ("g", "d2", "d3"), ("g", "c05", "e1"), ("g", "c05", "e2"), ("h", "a", "b"), ("h", "b", "c"), ("g", "x", "y"), ("g", "y", "x"), ("g", "y", "z"), ("g", "z", "w")]
+    check(spark, chain + side)
+
+
+@pytest.mark.parametrize("block", [65_536, 3])
+def test_descendants(spark, rows, monkeypatch, block):
+    monkeypatch.setattr(hierarchy, "BLOCK", block)
+    links = [("g", "a", "b"), ("g", "b", "c"), ("g", "b", "d"), ("g", "a", "e"), ("g", "d", "f"), (None, "a", "b"), ("g", "x", "x")]
+    found = hierarchy.hierarchy(spark.createDataFrame(links, LINK))
+    want = [("g", a, d, n) for a, below in {"a": {"b": 1, "c": 2, "d": 2, "e": 1, "f": 3}, "b": {"c": 1, "d": 1, "f": 2}, "d": {"f": 1}}.items() for d, n in below.items()] + [(None, "a", "b", 1)]
+    assert rows(found.descendants()) == sorted(want, key=str)
+    of = spark.createDataFrame([("g", "b"), ("g", "b"), ("g", "c"), ("g", "x"), (None, "a"), ("h", "a")], "graph string, node_id string")
+    assert rows(found.descendants(of)) == sorted([x for x in want if x[:2] in (("g", "b"), (None, "a"))], key=str)
