@@ -89,6 +89,15 @@ def _python(value: object) -> object:
     return value.toPython() if hasattr(value, "toPython") else value
 
 
+def _as_json(kind: T.DataType) -> bool:
+    """Whether JSON has the values of a type as they are, so that it can become a variant without becoming text first."""
+    if isinstance(kind, T.StructType):
+        return all(_as_json(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _as_json(kind.elementType)
+    return isinstance(kind, (T.StringType, T.BooleanType, T.IntegralType, T.DoubleType))
+
+
 def _of_python(function: Callable) -> Callable:
     return lambda *args: function(*map(_python, args))
 
@@ -120,12 +129,17 @@ class Transaction:
         meta = (self.entry(keyspace) or {}).get("meta", {})
         self.staged[keyspace] = self.database.store.stage(keyspace, rows, keys, order) | {"meta": meta}
 
-    def change(self, keyspace: str, rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-        """Put rows in the place of those of their keys, or take these away where ``__gone``; what was written, read back."""
+    def change(self, keyspace: str, rows: DataFrame, keys: Sequence[str], order: Sequence[str], unique: bool = False, numbers: str | None = None) -> DataFrame:
+        """Put rows in the place of those of their keys, or take these away where ``__gone``; what was written, read back. See Store.stage_delta.
+
+        numbers: a column of numbers that are never used again; the keyspace's next one follows the greatest.
+        """
         rows = rows if "__gone" in rows.columns else rows.withColumn("__gone", F.lit(False))
         store, at = self.database.store, self.entry(keyspace)
-        new, part = store.stage_delta(keyspace, at, rows, keys, order)
+        new, part = store.stage_delta(keyspace, at, rows, keys, order, unique, numbers)
         self.staged[keyspace] = new
+        if numbers:
+            self.numbered(keyspace, max(self.next_number(keyspace), (part["top"] or 0) + 1))
         return store.read_part(new, part)
 
     def add(self, keyspace: str, rows: DataFrame) -> None:
@@ -258,7 +272,8 @@ class Database:
         """id, value, changed, ord. A DataFrame has id and value, value being VARIANT or of any other type, and its ord if ids repeat."""
         if isinstance(documents, DataFrame):
             kind = documents.schema["value"].dataType
-            value = F.col("value") if isinstance(kind, T.VariantType) else F.parse_json(F.to_json("value")) if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)) else F.col("value").cast("variant")
+            nested = isinstance(kind, (T.StructType, T.ArrayType, T.MapType))
+            value = F.col("value") if isinstance(kind, T.VariantType) else F.to_variant_object("value") if nested and _as_json(kind) else F.parse_json(F.to_json("value")) if nested else F.col("value").cast("variant")
             order = F.col("ord") if "ord" in documents.columns else F.lit(0)
             return documents.select("id", value.alias("value"), F.lit(bool(changed)).alias("changed"), order.cast("bigint").alias("ord"))
         last = {}
@@ -267,16 +282,20 @@ class Database:
             last.pop(d.id, None)
             last[d.id] = d
         rows = [(d.id, encode(d.value), d.changed if changed is None else changed, i) for i, d in enumerate(last.values())]
-        return self.spark.createDataFrame(rows, "id string, json string, changed boolean, ord bigint").select("id", F.when(F.col("json") != "null", F.parse_json("json")).alias("value"), "changed", "ord")
+        return self._local(rows, "id string, json string, changed boolean, ord bigint").select("id", F.when(F.col("json") != "null", F.parse_json("json")).alias("value"), "changed", "ord")
+
+    def _local(self, rows: list, schema: str) -> DataFrame:
+        """Python rows as a DataFrame of as few partitions as they need."""
+        return self.spark.createDataFrame(rows, schema).coalesce(1 + len(rows) // 100_000)
 
     def _batch(self, documents: DataFrame | Iterable[Document | tuple[str, object]], changed: bool | None) -> DataFrame:
-        """_frame with each id once."""
+        """_frame with each id once; ids of a DataFrame without ord, which should be unique, are checked when they are written."""
         rows = self._frame(documents, changed)
-        return D.last_writes(rows, ["id"], "ord") if isinstance(documents, DataFrame) else rows
+        return D.last_writes(rows, ["id"], "ord") if isinstance(documents, DataFrame) and "ord" in documents.columns else rows
 
     def _write_documents(self, t: Transaction, rows: DataFrame, collection: str, track: bool) -> None:
         """rows: id, value, changed, ord; each id once."""
-        written = t.change(self._keyspace(collection), rows.select("id", "value", "changed"), DOCUMENT_KEYS, DOCUMENT_KEYS)
+        written = t.change(self._keyspace(collection), rows.select("id", "value", "changed"), DOCUMENT_KEYS, DOCUMENT_KEYS, unique=True)
         for definition in self.secondary_indexes_for(collection):
             self._change_postings(t, definition, I.posting_changes(written, self._own_key(definition)))
         if track:
@@ -322,7 +341,8 @@ class Database:
                 raise NotEmpty(f"collection {collection!r} has documents")
             batch = self._batch(documents, True if track_changes else None)
             order = batch.select("id", "ord") if track_changes else None
-            t.write(self._keyspace(collection), self.store.in_order(batch.select("id", "value", "changed"), DOCUMENT_KEYS), DOCUMENT_KEYS, DOCUMENT_KEYS)
+            t.staged[self._keyspace(collection)] = None  # an empty keyspace, if there is one, gives way
+            t.change(self._keyspace(collection), batch.select("id", "value", "changed").repartitionByRange("id"), DOCUMENT_KEYS, DOCUMENT_KEYS, unique=True)
             for definition in self.secondary_indexes_for(collection):
                 self._write_postings(t, definition, I.rebuild_index(t.read(self._keyspace(collection), schemas.DOCUMENT), self._own_key(definition)))
             if order is not None:
@@ -502,18 +522,21 @@ class Database:
         if isinstance(nodes, DataFrame):
             order = "ord" if "ord" in nodes.columns else None
             batch = nodes.select(F.lit(graph).alias("graph"), F.col("id").cast("string").alias("id"), F.to_json(F.struct("props")).alias("json"), (F.col("ord") if order else F.lit(0)).cast("bigint").alias("ord"))
-            batch, few = D.last_writes(batch.withColumn("json", F.get_json_object("json", "$.props")), G.KEY, "ord"), None
+            batch, few = batch.withColumn("json", F.get_json_object("json", "$.props")), None
+            batch = D.last_writes(batch, G.KEY, "ord") if order else batch
         else:
             last = {}
             for n in nodes:
                 last.pop(str(n.id), None)
                 last[str(n.id)] = n
             order, few = "ord", list(last)
-            batch = self.spark.createDataFrame([(graph, k, encode(n.props), i) for i, (k, n) in enumerate(last.items())], "graph string, id string, json string, ord bigint")
+            batch = self._local([(graph, k, encode(n.props), i) for i, (k, n) in enumerate(last.items())], "graph string, id string, json string, ord bigint")
         with self._boundary("write") as t:
-            new = G.with_row_ids(self._named(t.read("nodes", schemas.NODE), graph, few), batch, order, start := t.next_number("nodes"))
-            written = t.change("nodes", new.select("graph", "id", "row_id", F.when(F.col("json") != "null", F.parse_json("json")).alias("props")), G.KEY, NODE_ORDER)
-            t.numbered("nodes", max(start, (written.agg(F.max("row_id")).first()[0] or 0) + 1))
+            new = G.with_row_ids(self._old(t, "nodes", schemas.NODE, graph, few), batch, order, t.next_number("nodes"))
+            t.change("nodes", new.select("graph", "id", "row_id", F.when(F.col("json") != "null", F.parse_json("json")).alias("props")), G.KEY, NODE_ORDER, unique=True, numbers="row_id")
+
+    def _old(self, t: Transaction, keyspace: str, schema: T.StructType, graph: str, ids: Sequence[str] | None) -> DataFrame | None:
+        return self._named(t.read(keyspace, schema), graph, ids) if t.has(keyspace) else None
 
     @staticmethod
     def _named(rows: DataFrame, graph: str, ids: Sequence[str] | None) -> DataFrame:
@@ -540,7 +563,7 @@ class Database:
         if isinstance(edges, DataFrame):
             order = "ord" if "ord" in edges.columns else None
             batch = edges.select(F.lit(graph).alias("graph"), "id", "source", F.coalesce("predicate", F.lit(DEFAULT_PREDICATE)).alias("predicate"), "target", (F.col("ord") if order else F.lit(0)).cast("bigint").alias("ord"))
-            self._write_edges(D.last_writes(batch, G.KEY, "ord"), graph, order)
+            self._write_edges(D.last_writes(batch, G.KEY, "ord") if order else batch, graph, order)
             return
         last = {}
         for e in edges:
@@ -548,20 +571,19 @@ class Database:
             last[str(e.id)] = e
         rows = [(graph, k, str(e.source), str(e.predicate), str(e.target), i) for i, (k, e) in enumerate(last.items())]
         ends = list({x for r in rows for x in (r[2], r[4])})
-        self._write_edges(self.spark.createDataFrame(rows, "graph string, id string, source string, predicate string, target string, ord bigint"), graph, "ord", list(last), ends)
+        self._write_edges(self._local(rows, "graph string, id string, source string, predicate string, target string, ord bigint"), graph, "ord", list(last), ends)
 
     def _write_edges(self, batch: DataFrame, graph: str, order: str | None, ids: Sequence[str] | None = None, ends: Sequence[str] | None = None) -> None:
         with self._boundary("write") as t:
             G.check_endpoints(batch, self._named(t.read("nodes", schemas.NODE), graph, ends))
-            new = G.with_row_ids(self._named(t.read("edges", schemas.EDGE), graph, ids), batch, order, start := t.next_number("edges"))
-            written = self._change_edges(t, new.select(*schemas.EDGE.names))
-            t.numbered("edges", max(start, (written.agg(F.max("row_id")).first()[0] or 0) + 1))
+            new = G.with_row_ids(self._old(t, "edges", schemas.EDGE, graph, ids), batch, order, t.next_number("edges"))
+            self._change_edges(t, new.select(*schemas.EDGE.names))
 
     @staticmethod
     def _change_edges(t: Transaction, rows: DataFrame) -> DataFrame:
         """Write a delta of edges in the order of their sources and, from what was written, in that of their targets."""
         had = t.has("edges")
-        written = t.change("edges", rows, G.KEY, EDGE_ORDER["edges"])
+        written = t.change("edges", rows, G.KEY, EDGE_ORDER["edges"], unique=True, numbers="row_id")
         if had or "__gone" not in rows.columns:
             t.change("edges_in", written, G.KEY, EDGE_ORDER["edges_in"])
         return written

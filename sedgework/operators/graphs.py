@@ -20,9 +20,11 @@ def upsert(rows: DataFrame, batch: DataFrame, ordinal: str | None = None) -> Dat
     return rows.join(new.select(*KEY), KEY, "left_anti").select(*rows.columns).unionByName(new.select(*rows.columns))
 
 
-def with_row_ids(rows: DataFrame, batch: DataFrame, ordinal: str | None, start: int) -> DataFrame:
-    """batch with ``row_id``: that of the row it replaces, else a new one from start on, increasing with ordinal, if there is one. Gaps are left."""
+def with_row_ids(rows: DataFrame | None, batch: DataFrame, ordinal: str | None, start: int) -> DataFrame:
+    """batch with ``row_id``: that of the row of rows (None: there are none) that it replaces, else a new one from start on, increasing with ordinal, if there is one. Gaps are left."""
     ordered = batch if ordinal is None else batch.repartitionByRange(F.col(ordinal)).sortWithinPartitions(ordinal)
+    if rows is None:
+        return ordered.withColumn("row_id", F.monotonically_increasing_id() + start)
     kept = rows.select(*KEY, "row_id")
     return ordered.withColumn("__new", F.monotonically_increasing_id() + start).join(kept, KEY, "left").withColumn("row_id", F.coalesce("row_id", "__new")).drop("__new")
 
@@ -38,7 +40,10 @@ def unknown_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def check_endpoints(edges: DataFrame, nodes: DataFrame) -> None:
-    """Raise UnknownEndpoint if an edge has one."""
+    """Raise UnknownEndpoint if an edge has one. Endpoints are looked up once each; edges are joined only to name one that is wrong."""
+    ends = edges.select("graph", F.explode(F.array("source", "target")).alias("id")).distinct()
+    if ends.join(nodes.select(*KEY), KEY, "left_anti").isEmpty():
+        return
     if bad := unknown_endpoints(edges, nodes).take(1):
         raise UnknownEndpoint(f"edge {bad[0]['id']!r} of graph {bad[0]['graph']!r} names a node that isn't there")
 

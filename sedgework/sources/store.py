@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sedgework.errors import CommitConflict
+from sedgework.operators.documents import last_writes
 
 #: Snapshots that a vacuum keeps besides those named.
 KEEP = 10
@@ -100,11 +101,16 @@ class Store:
         kept = base.join(delta.select(*at["keys"]), at["keys"], "left_anti").select(*base.columns)
         return kept.unionByName(delta.where(~F.col("__gone")).select(*base.columns))
 
-    def _write(self, keyspace: str, rows: DataFrame, delta: bool) -> dict:
+    def _write(self, keyspace: str, rows: DataFrame, delta: bool, keys: Sequence[str] = (), numbers: str | None = None) -> dict:
+        """Write a part: its path and rows; with keys, also whether keys repeat and the greatest of a column of numbers, found in the same pass over what was written."""
         path = f"data/{quote(keyspace, safe='')}/{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.root}/{path}")
-        count = self.spark.read.schema(rows.schema).parquet(f"{self.root}/{path}").count()  # from the files' footers
-        return {"path": path, "rows": count, "delta": delta}
+        found = self.spark.read.schema(rows.schema).parquet(f"{self.root}/{path}")
+        if not keys:
+            return {"path": path, "rows": found.count(), "delta": delta}  # from the files' footers
+        one = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(numbers if numbers else F.lit(0).cast("bigint")).alias("top"))
+        n, most, top = one.agg(F.sum("n"), F.max("n"), F.max("top")).first()
+        return {"path": path, "rows": n or 0, "delta": delta, "repeats": (most or 0) > 1, "top": top}
 
     def read_part(self, at: dict, part: dict) -> DataFrame:
         """The rows of one part alone."""
@@ -129,13 +135,20 @@ class Store:
             new = new | {"parts": [p for p in new["parts"] if p not in small] + [merged]}
         return new
 
-    def stage_delta(self, keyspace: str, at: dict | None, rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[dict, dict]:
-        """A version in which rows (with ``__gone``) replace those of their keys, and the part that holds them. Without anything before, the rows that stay are the base."""
+    def stage_delta(self, keyspace: str, at: dict | None, rows: DataFrame, keys: Sequence[str], order: Sequence[str], unique: bool = False, numbers: str | None = None) -> tuple[dict, dict]:
+        """A version in which rows (with ``__gone``) replace those of their keys, and the part that holds them. Without anything before, the rows that stay are the base.
+
+        unique: a key may have one row only, so if keys repeat the rows are written once more, one row of each key, chosen by its hash.
+        """
         columns = [c for c in rows.columns if c != "__gone"]
-        if at is None or not at["parts"]:
-            new = self.stage(keyspace, rows.where(~F.col("__gone")).select(*columns).sortWithinPartitions(*order), keys, order)
-            return new, new["parts"][0]
-        part = self._write(keyspace, rows.select(*columns, "__gone").sortWithinPartitions(*order), True)
+        first = at is None or not at["parts"]
+        rows = rows.where(~F.col("__gone")).select(*columns) if first else rows.select(*columns, "__gone")
+        part = self._write(keyspace, rows.sortWithinPartitions(*order), not first, keys if unique else (), numbers)
+        if part.get("repeats"):
+            written = self.spark.read.schema(rows.schema).parquet(f"{self.root}/{part['path']}")
+            part = self._write(keyspace, last_writes(written, keys, F.lit(0)).sortWithinPartitions(*order), not first, keys, numbers)
+        if first:
+            return {"parts": [part], "rows": part["rows"], "schema": rows.schema.jsonValue(), "keys": list(keys), "order": list(order)}, part
         return self._merged(keyspace, at | {"parts": [*at["parts"], part], "rows": None, "keys": list(keys), "order": list(order)}), part
 
     def _merged(self, keyspace: str, at: dict) -> dict:
