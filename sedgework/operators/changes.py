@@ -161,8 +161,8 @@ class ChangeCapture:
     """An incremental job over a log of deliveries that can be cut off at any moment.
 
     root: a folder that all executors share. ``plans/<n>.json`` is the write-ahead plan of batch n, ``batch/<n>``
-    what it read, ``sink/batch=<n>`` its rows, ``state/<n>`` the greatest offset per key of the buckets that it touched, ``commits/<n>.json`` its commit
-    with the version of every bucket. Files of a batch without commit are overwritten when the batch is replayed, with the offsets that its plan has; so
+    what it read, ``state/batch=<n>`` the greatest offset per key of the buckets that it touched, those with ``fresh=true`` being its own rows, the sink,
+    ``commits/<n>.json`` its commit with the version of every bucket. Files of a batch without commit are overwritten when the batch is replayed, with the offsets that its plan has; so
     each change is in exactly one committed batch. A batch reads the log between its offsets, by comparisons that reach the files, and of the
     state the buckets of its keys.
 
@@ -243,21 +243,22 @@ class ChangeCapture:
         kinds = dict(log.dtypes)
         columns = ", ".join(f"`{k}` {kinds[k]}" for k in self.key)
         bucket = F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int").alias("bucket")
-        read = self._covered(log, plan).where(F.col(self.offset).isNotNull()).groupBy(*self.key).agg(F.max(self.offset).alias(self.offset)).select("*", bucket).repartition("bucket")
+        read = self._covered(log, plan).where(F.col(self.offset).isNotNull()).groupBy(*self.key).agg(F.max(self.offset).alias("new")).select("*", bucket).repartition("bucket")
         read.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/batch/{n}")
+        self._stop(fail_at, "batch")
         touched = [x.split("=")[1] for x in self._names(f"batch/{n}") if x.startswith("bucket=")]
-        batch = self.spark.read.schema(f"{columns}, `{self.offset}` {kinds[self.offset]}, bucket int").parquet(f"{self.root}/batch/{n}").drop("bucket")
-        held = [f"{self.root}/state/{versions[b]}/bucket={b}" for b in touched if b in versions]
-        state = self.spark.read.schema(f"{columns}, last_offset {kinds[self.offset]}").parquet(*held) if held else None
-        new = accept(batch.withColumn("batch_no", F.lit(n)), self.key, self.offset, state)
-        new.select(*self.key, self.offset).write.mode("overwrite").parquet(f"{self.root}/sink/batch={n}")
-        self._stop(fail_at, "sink")
-        fresh = self.spark.read.schema(f"{columns}, `{self.offset}` {kinds[self.offset]}").parquet(f"{self.root}/sink/batch={n}").withColumnRenamed(self.offset, "last_offset")
-        merged = fresh if state is None else state.unionByName(fresh).groupBy(*self.key).agg(F.max("last_offset").alias("last_offset"))
-        merged.select("*", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/state/{n}")
+        both = self.spark.read.schema(f"{columns}, new {kinds[self.offset]}, bucket int").parquet(f"{self.root}/batch/{n}").select(*self.key, "new", F.lit(None).cast(kinds[self.offset]).alias("held"))
+        held = [f"{self.root}/state/batch={versions[b]}/fresh=*/bucket={b}" for b in touched if b in versions]
+        if held:
+            state = self.spark.read.schema(f"{columns}, last_offset {kinds[self.offset]}").parquet(*held)
+            both = both.unionByName(state.select(*self.key, F.lit(None).cast(kinds[self.offset]).alias("new"), F.col("last_offset").alias("held")))
+        # the sink takes what is greater than all that it had of the key
+        merged = both.groupBy(*self.key).agg(F.max("new").alias("new"), F.max("held").alias("held"))
+        fresh = F.coalesce(F.col("new").isNotNull() & (F.col("held").isNull() | (F.col("new") > F.col("held"))), F.lit(False))
+        merged = merged.select(*self.key, F.greatest("new", "held").alias("last_offset"), fresh.alias("fresh"), bucket)
+        merged.repartition("bucket").write.mode("overwrite").partitionBy("fresh", "bucket").parquet(f"{self.root}/state/batch={n}")
         self._stop(fail_at, "state")
-        written = [x.split("=")[1] for x in self._names(f"state/{n}") if x.startswith("bucket=")]
-        self._write(f"commits/{n}.json", {"buckets": versions | {b: n for b in written}})
+        self._write(f"commits/{n}.json", {"buckets": versions | {b: n for b in touched}, "key": columns, "offset": kinds[self.offset]})
         return n
 
     def has_plan(self) -> bool:
@@ -274,7 +275,9 @@ class ChangeCapture:
         n = self.last_commit()
         if not n:
             raise ValueError("nothing is committed yet")
-        return self.spark.read.parquet(f"{self.root}/sink").where(F.col("batch") <= n)
+        kinds = self._read(f"commits/{n}.json")
+        rows = self.spark.read.schema(f"{kinds['key']}, last_offset {kinds['offset']}, batch int, fresh boolean, bucket int").parquet(f"{self.root}/state")
+        return rows.where(F.col("fresh") & (F.col("batch") <= n)).select(*self.key, F.col("last_offset").alias(self.offset), "batch")
 
 
 class BrokenOff(RuntimeError):
@@ -287,7 +290,7 @@ class BrokenOff(RuntimeError):
 def capture_runs(documents: DataFrame, runs: DataFrame, root: str, buckets: int = 16) -> DataFrame:
     """changed_per_run by a ChangeCapture job that goes through the run log: every run reads what had arrived by its read_to, and runs that didn't succeed are broken off.
 
-    They break off after plan, sink and state by turns. A run that succeeds first replays the plan that a broken one left, then reads on to its own
+    They break off after plan, batch and state by turns. A run that succeeds first replays the plan that a broken one left, then reads on to its own
     read_to; both batches are its own. read_to must grow from one succeeded run to the next; a run that failed beyond the read_to of the next that
     succeeded is passed over, for what it planned is not the other's to commit. Columns as of changed_per_run.
     """
@@ -309,7 +312,7 @@ def capture_runs(documents: DataFrame, runs: DataFrame, root: str, buckets: int
             continue
         steps += 1
         try:
-            job.run(reach, fail_at=("plan", "sink", "state")[steps % 3])
+            job.run(reach, fail_at=("plan", "batch", "state")[steps % 3])
         except BrokenOff:
             pass
     found = job.result().join(spark.createDataFrame(committed, "batch int, run_id bigint"), "batch")

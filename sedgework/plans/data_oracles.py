@@ -57,6 +57,14 @@ WITH runs AS (SELECT run_id, hi, lag(hi) OVER (ORDER BY run_id) AS lo FROM ({RUN
 SELECT run_id, collection, id AS doc_key FROM runs r JOIN stored_document d ON d.arrived_at <= r.hi
 GROUP BY run_id, collection, id HAVING max(revision) > coalesce(max(revision) FILTER (WHERE d.arrived_at <= r.lo), -1)"""
 
+READINGS = " UNION ALL ".join(f"SELECT measurement_id, runner, metric, measured_at, '{f}' AS field_name, {f} AS v FROM (SELECT *, row_number() OVER (PARTITION BY measurement_id ORDER BY arrived_at) AS rn FROM bench_metric) WHERE rn = 1 AND {f} IS NOT NULL" for f in ("reference_seconds", "fast_seconds", "speedup"))
+RULES = f"""
+WITH readings AS ({READINGS}),
+marked AS (SELECT *, lag(v) OVER (PARTITION BY runner, metric, field_name ORDER BY measured_at NULLS FIRST, measurement_id) AS before FROM readings),
+runs AS (SELECT *, sum(CASE WHEN before = v THEN 0 ELSE 1 END) OVER (PARTITION BY runner, metric, field_name ORDER BY measured_at NULLS FIRST, measurement_id) AS run FROM marked),
+sized AS (SELECT *, count(*) OVER (PARTITION BY runner, metric, field_name, run) AS n FROM runs)
+SELECT measurement_id, field_name, CASE WHEN isfinite(v) AND v > 0 THEN 'stuck' ELSE 'not_positive' END AS reason FROM sized WHERE n >= 5 OR NOT (isfinite(v) AND v > 0)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -76,6 +84,7 @@ LEFT JOIN (SELECT graph, id, min(row_id) AS source_row FROM graph_node GROUP BY
 WHERE e.source IS NOT NULL AND e.target IS NOT NULL GROUP BY e.graph, e.source, e.target""",
         "p4_postings": f"WITH keys AS ({INDEX_KEYS}) SELECT name, key, count(DISTINCT doc_id) AS n_documents, min(doc_id) AS first_id, max(doc_id) AS last_id FROM keys WHERE key IS NOT NULL AND doc_id IS NOT NULL GROUP BY name, key",
         "p6_found": f"{WALK} SELECT n.graph, n.id AS node_id, coalesce(w.root, '') AS root_id, coalesce(w.depth, -1) AS depth FROM nodes n LEFT JOIN walk w USING (graph, id)",
+        "p5_rules": RULES,
         "p6_descendants": f"{WALK}, steps AS (SELECT graph, id, depth, unnest(string_split(path, ' / ')) AS above, unnest(range(depth + 1)) AS level FROM walk) SELECT graph, above AS node_id, id AS descendant_id, depth - level AS distance FROM steps WHERE level < depth",
         "p6_paths": f"""
 {WALK}, above AS (SELECT graph, id, unnest(string_split(path, ' / ')) AS a FROM walk), sizes AS (SELECT graph, a AS id, count(*) - 1 AS n FROM above GROUP BY graph, a)

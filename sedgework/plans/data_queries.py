@@ -102,6 +102,12 @@ def p5_scores(spark: SparkSession, root: str) -> DataFrame:
     return spikes.judged(table(spark, root, "bench_metric"), METRIC_FIELDS)
 
 
+def p5_rules(spark: SparkSession, root: str) -> DataFrame:
+    """The readings that the two rules of physics decide, without any score."""
+    found = spikes.judged(table(spark, root, "bench_metric"), METRIC_FIELDS, cases_only=True)
+    return found.where(F.col("reason") != "spike").select("measurement_id", "field_name", "reason")
+
+
 def _hierarchy(spark: SparkSession, root: str) -> hierarchy.Hierarchy:
     return hierarchy.hierarchy(hierarchy.current_links(table(spark, root, "graph_edge")))
 
@@ -128,4 +134,4 @@ def tasks_of(spark: SparkSession) -> int:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_capture": p2_capture, "p3_found": p3_found, "p3_table": p3_table, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_postings": p4_postings, "p5_found": p5_found, "p5_scores": p5_scores, "p6_found": p6_found, "p6_paths": p6_paths, "p6_descendants": p6_descendants}
+    return {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_capture": p2_capture, "p3_found": p3_found, "p3_table": p3_table, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_postings": p4_postings, "p5_found": p5_found, "p5_scores": p5_scores, "p5_rules": p5_rules, "p6_found": p6_found, "p6_paths": p6_paths, "p6_descendants": p6_descendants}

@@ -77,7 +77,7 @@ _OVER_GRAPH = {
     "graph_adjacency_out_all": "SELECT graph, source, predicate, target AS neighbor, id AS edge_id FROM edges",
     "graph_adjacency_in_all": "SELECT graph, target, predicate, source AS neighbor, id AS edge_id FROM edges",
     "graph_all_neighbors": "SELECT e.graph, e.source AS node, e.predicate, substr(n.label, 1, 1) AS initial, count(*) AS n FROM edges e JOIN nodes n ON n.graph = e.graph AND n.id = e.target GROUP BY 1, 2, 3, 4",
-    "graph_put_triples": "SELECT graph, CASE WHEN right(source, 1) = '7' THEN predicate ELSE 'child' END AS predicate, count(*) AS n FROM edges WHERE graph = 'geo' GROUP BY 1, 2",
+    "graph_put_triples": "SELECT 'all' AS graph, CASE WHEN right(source, 1) = '7' THEN predicate ELSE 'child' END AS predicate, count(*) AS n FROM edges GROUP BY 1, 2",
     "store_flagship": "SELECT unnest(string_split(p.label, ' ')) AS word, count(*) AS n FROM edges e JOIN nodes o ON o.graph = e.graph AND o.id = e.source JOIN nodes p ON p.graph = e.graph AND p.id = e.target WHERE e.graph = 'sales' AND e.predicate = 'contains' AND o.label = 'O' GROUP BY 1",
 }
 

@@ -290,8 +290,8 @@ def graph_all_neighbors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 @_graph("graph_put_triples")
 def graph_put_triples(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    triples = edges.where(F.col("graph") == "geo").select("source", "target", F.when(F.col("source").endswith("7"), F.col("predicate")).alias("predicate"))
-    return G.edges_from_triples(triples, "geo").groupBy("graph", "predicate").agg(F.count_distinct("id").alias("n"))
+    triples = edges.select("source", "target", F.when(F.col("source").endswith("7"), F.col("predicate")).alias("predicate"))
+    return G.edges_from_triples(triples, "all").groupBy("graph", "predicate").agg(F.count_distinct("id").alias("n"))
 
 
 @_docs("view_rebuild")
@@ -311,8 +311,8 @@ def view_multi_emit(docs: DataFrame) -> DataFrame:
 
 @_docs("view_get")
 def view_get(docs: DataFrame) -> DataFrame:
-    first = docs.where(F.col(EVENT) == "purchase").agg(F.min("id").alias("key"))
-    return V.rebuild(docs, PURCHASES).join(first, "key", "left_semi")
+    rows = V.rebuild(docs, PURCHASES)
+    return V.get(rows, docs.where(F.col(EVENT) == "purchase").agg(F.min("id")).first()[0])
 
 
 @_docs("view_rows_range")
