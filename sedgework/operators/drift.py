@@ -15,6 +15,7 @@ import json
 from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,17 +37,23 @@ def profiles(files: DataFrame) -> DataFrame:
     Written once, so that bodies are parsed once however often the profiles are read.
     """
 
-    def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [layouts.parse_object(b) for b in batch["body"]]
-            texts = [None if o is None else json.dumps({k: [layouts.type_of(v), None if v is None else layouts.sketch(v), layouts.width_of(v)] for k, v in o.items()}) for o in found]
-            batch = batch.drop(columns="body").assign(layout=texts)
-            yield batch[batch["layout"].notna()]
+            objects, kept = _objects(batch)
+            texts = [json.dumps({k: [layouts.type_of(v), None if v is None else layouts.sketch(v), layouts.width_of(v)] for k, v in o.items()}) for o in objects]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string())], names=["file_id", "suite", "committed_at", "layout"])
 
-    found = files.select("file_id", "suite", F.col("committed_at").cast("timestamp"), "body").mapInPandas(profile, PROFILE)
+    found = files.select("file_id", "suite", F.col("committed_at").cast("timestamp"), "body").mapInArrow(profile, PROFILE)
     return Scratch(files.sparkSession, "drift").keep(found, "profiles")
 
 
+def _objects(batch: pa.RecordBatch) -> tuple[list[dict], list[pa.Array]]:
+    """The JSON objects of a batch of files (file_id, suite, committed_at, body) and the other columns of their rows."""
+    found = [layouts.parse_object(b) for b in batch.column(3).to_pylist()]
+    at = pa.array([i for i, o in enumerate(found) if o is not None], pa.int64())
+    return [o for o in found if o is not None], [batch.column(i).take(at) for i in range(3)]
+
+
 def _load(text: str | None) -> layouts.State | None:
     return None if text is None else {k: tuple(x[:2]) for k, x in json.loads(text).items()}
 
@@ -172,19 +179,25 @@ def unified(files: DataFrame) -> DataFrame:
     names = column_names(columns, [*fixed, "other_fields"] if more else fixed)
     quoted = ["`" + n.replace("`", "``") + "`" for n in names]
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {c: i for i, c in enumerate(columns)}
         for batch in batches:
-            objects = [layouts.parse_object(b) for b in batch["body"]]
-            keep = [o is not None for o in objects]
-            out = batch.drop(columns="body")[keep].reset_index(drop=True)
-            rows = [{to[k]: v for k, v in o.items() if v is not None and k in to} for o in objects if o is not None]
-            for column, name in zip(columns, names, strict=True):
-                out[name] = pd.Series([None if r.get(column) is None else layouts.text_of(r[column]) for r in rows], dtype=object)
-            if more:
-                rest = [{k: layouts.text_of(v) for k, v in o.items() if v is not None and k not in to} for o in objects if o is not None]
-                out["other_fields"] = pd.Series([json.dumps(r, ensure_ascii=False) if r else None for r in rest], dtype=object)
-            yield out
-
-    raw = files.select("file_id", "suite", F.col("committed_at").cast("timestamp").alias("committed_at"), "body").mapInPandas(spread, "file_id bigint, suite string, committed_at timestamp, " + ", ".join(f"{q} string" for q in [*quoted, *(["other_fields"] if more else [])]))
+            objects, kept = _objects(batch)
+            values: list[list[str | None]] = [[None] * len(objects) for _ in columns]
+            rest: list[str | None] = [None] * len(objects)
+            for row, found in enumerate(objects):
+                other = {}
+                for name, value in found.items():
+                    if value is not None:
+                        if name in to:
+                            values[place[to[name]]][row] = layouts.text_of(value)
+                        else:
+                            other[name] = layouts.text_of(value)
+                if other:
+                    rest[row] = json.dumps(other, ensure_ascii=False)
+            arrays = [pa.array(v, pa.string()) for v in ([*values, rest] if more else values)]
+            yield pa.RecordBatch.from_arrays([*kept, *arrays], names=[*fixed, *names, *(["other_fields"] if more else [])])
+
+    raw = files.select("file_id", "suite", F.col("committed_at").cast("timestamp").alias("committed_at"), "body").mapInArrow(spread, "file_id bigint, suite string, committed_at timestamp, " + ", ".join(f"{q} string" for q in [*quoted, *(["other_fields"] if more else [])]))
     wide = {"bigint": "try_cast({} as bigint)", "decimal(38,0)": "try_cast({} as decimal(38,0))", "double": "try_cast({} as double)", "boolean": "try_cast({} as boolean)", "string": "{}"}
     return raw.selectExpr(*fixed, *[f"{wide[t].format(q)} as {q}" for q, t in zip(quoted, types, strict=True)], *(["other_fields"] if more else []))
