@@ -12,8 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedgework.operators.changes import offset_of
 from sedgework.sources.scratch import Scratch
 
+#: Slices that a hot key is swept in, in microseconds.
+HOUR = 3_600_000_000
+
 
 def references(edges: DataFrame) -> DataFrame:
     """The non-null endpoints of edges in long form: seq, graph, key, side, at (arrival of the delivery)."""
@@ -90,7 +94,7 @@ def _swept(refs: DataFrame, lives: DataFrame, keys: DataFrame) -> DataFrame:
     named = keys.select(F.col("graph").alias("kg"), F.col("key").alias("kk"), "hot")
     own = lives.where(F.col("died").isNull() | (F.col("died") > F.col("born"))).join(named, F.col("graph").eqNullSafe(F.col("kg")) & (F.col("key") == F.col("kk")))
     turns = F.array(F.struct(F.col("born").alias("at"), F.lit(1).alias("step")), F.struct(F.col("died").alias("at"), F.lit(-1).alias("step")))
-    hour = F.when(F.col("hot"), F.date_trunc("hour", F.col("at").cast("timestamp")).cast("timestamp_ntz"))
+    hour = F.when(F.col("hot"), F.floor(offset_of("at", dict(refs.dtypes)["at"]) / F.lit(HOUR)))
     turns = own.select("graph", "key", "hot", F.inline(turns)).where(F.col("at").isNotNull()).withColumn("slice", hour)
     refs = refs.withColumn("slice", hour)
 
@@ -100,8 +104,8 @@ def _swept(refs: DataFrame, lives: DataFrame, keys: DataFrame) -> DataFrame:
 
     turn = lambda rows, at, place: rows.select("graph", "key", "slice", at.alias("at"), F.lit(place).alias("place"), F.col("step").cast("bigint").alias("step"))
     events = refs.select("graph", "key", "slice", "at", F.lit(2).alias("place"), F.lit(0).cast("bigint").alias("step"), "seq", "side", "first_born")
-    events = events.unionByName(turn(turns, F.col("at"), 1), allowMissingColumns=True).unionByName(turn(begun, F.col("slice"), 0), allowMissingColumns=True)
-    so_far = Window.partitionBy("graph", "key", "slice").orderBy(F.col("at").asc_nulls_first(), "place").rowsBetween(Window.unboundedPreceding, 0)
+    events = events.unionByName(turn(turns, F.col("at"), 1), allowMissingColumns=True).unionByName(turn(begun, F.lit(None).cast(dict(refs.dtypes)["at"]), 0), allowMissingColumns=True)
+    so_far = Window.partitionBy("graph", "key", "slice").orderBy(F.col("place") > 0, F.col("at").asc_nulls_first(), "place").rowsBetween(Window.unboundedPreceding, 0)
     return events.withColumn("alive", F.sum("step").over(so_far)).where((F.col("place") == 2) & (F.col("alive") <= 0))
 
 
