@@ -73,6 +73,10 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": CHANGED,
         "p2_capture": CHANGED,
         "p3_found": DRIFT,
+        "p3_complete": """
+WITH files AS (SELECT file_id, body FROM (SELECT * FROM bench_file WHERE json_valid(body)) WHERE json_type(body) = 'OBJECT'),
+listed AS (SELECT DISTINCT file_id, body, unnest(json_keys(body)) AS field FROM files)
+SELECT f.file_id, count(l.field) FILTER (WHERE json_type(json_extract(l.body, '$."' || l.field || '"')) <> 'NULL') AS n_values FROM files f LEFT JOIN listed l USING (file_id) GROUP BY f.file_id""",
         "p4_found": f"""
 WITH total AS (SELECT count(*) AS n FROM graph_edge), keys AS ({INDEX_KEYS})
 SELECT 'source' AS field_name, graph AS scope, source AS key_value FROM graph_edge WHERE source IS NOT NULL GROUP BY graph, source HAVING count(*) > 0.03 * (SELECT n FROM total)

@@ -45,6 +45,13 @@ def p3_table(spark: SparkSession, root: str) -> DataFrame:
     return drift.unified(table(spark, root, "bench_file"))
 
 
+def p3_complete(spark: SparkSession, root: str) -> DataFrame:
+    """How many values the one table has of each file: none may be lost, none may be there twice."""
+    found = p3_table(spark, root)
+    own = [F.col(f"`{c}`").isNotNull().cast("bigint") for c in found.columns if c not in ("file_id", "suite", "committed_at")]
+    return found.select("file_id", sum(own, F.lit(0).cast("bigint")).alias("n_values"))
+
+
 def _index_keys(spark: SparkSession, root: str) -> DataFrame:
     return indexes.keys_of_definitions(table(spark, root, "stored_document"), table(spark, root, "secondary_index"))
 
@@ -134,4 +141,4 @@ def tasks_of(spark: SparkSession) -> int:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_capture": p2_capture, "p3_found": p3_found, "p3_table": p3_table, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_postings": p4_postings, "p5_found": p5_found, "p5_scores": p5_scores, "p5_rules": p5_rules, "p6_found": p6_found, "p6_paths": p6_paths, "p6_descendants": p6_descendants}
+    return {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_capture": p2_capture, "p3_found": p3_found, "p3_table": p3_table, "p3_complete": p3_complete, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_postings": p4_postings, "p5_found": p5_found, "p5_scores": p5_scores, "p5_rules": p5_rules, "p6_found": p6_found, "p6_paths": p6_paths, "p6_descendants": p6_descendants}

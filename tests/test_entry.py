@@ -10,7 +10,7 @@ import pytest
 ROOT = Path(__file__).resolve().parents[1]
 DATA = Path("/root/testdata/sf0.001")
 #: One query of each kind; the driver compares all of them.
-SAMPLE = ["p1_found", "p2_found", "p3_found", "p4_found", "p6_found", "p6_paths", "doc_upsert", "idx_after_replace", "graph_delete_node", "view_multi_emit", "store_flagship"]
+SAMPLE = ["p1_found", "p2_found", "p3_found", "p4_found", "p6_found", "p6_paths", "p6_descendants", "p3_complete", "p5_rules", "calls_views", "calls_boundaries", "doc_upsert", "idx_after_replace", "graph_delete_node", "view_multi_emit", "store_flagship"]
 
 
 @pytest.fixture(scope="module")
