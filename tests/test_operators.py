@@ -92,7 +92,9 @@ def test_views_last_writer_and_incremental(spark, rows):
 def test_chunked(spark, margin):
     data = [("long", i // 3, i) for i in range(37)] + [("short", 1, i) for i in range(5)] + [(None, None, 1)]
     df = spark.createDataFrame(data, "g string, h int, item bigint").withColumn("at", F.timestamp_seconds(F.col("h") * 1800))
-    got = chunked(df, ["g"], "at", "item", 10, margin).collect()
+    short, long = chunked(df, ["g"], "at", "item", 10, margin)
+    got = short.collect() + long.collect()
+    assert {r["__n"] for r in got} == {None, 37} and short.columns == long.columns
     core = [r for r in got if r["__core"]]
     assert sorted((r["g"], r["item"]) for r in core if r["g"]) == sorted((g, i) for g, _, i in data if g)
     for r in got:
@@ -100,3 +102,13 @@ def test_chunked(spark, margin):
             low, high = r["__chunk"] * 10, r["__chunk"] * 10 + 10
             assert (low <= r["item"] < high) == r["__core"] and low - margin <= r["item"] < high + margin
     assert len(got) == len(core) + (2 * margin * 3 if margin else 0)
+
+
+def test_chunks_of_one_time(spark):
+    """A group under one time, or none, is cut all the same; a table without long groups has no long part."""
+    df = spark.range(95).selectExpr("'g' AS g", "if(id < 60, timestamp'2024-01-01', null) AS at", "if(id % 2 = 0, id, null) AS item", "id")
+    short, long = chunked(df, ["g"], "at", "item", 10)
+    assert short.count() == 0
+    sizes = [r["count"] for r in long.groupBy("__chunk").count().orderBy("__chunk").collect()]
+    assert sizes == [10] * 9 + [5] and long.select("id").distinct().count() == 95
+    assert chunked(df, ["g"], "at", "item", 95)[1] is None
